@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 END_ID = 2
 #: Chunks of which a worker remembers the ids; about 200 bytes each. The first ones seen stay: frequent ones come early.
 REMEMBERED = 700_000
@@ -26,10 +31,31 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class KnownChunks(dict):
+    """Chunk to ids; a chunk that isn't known is encoded when it is asked for, and remembered while there is room."""
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        tokenizer.model._resize_cache(0)  # this dict takes its place
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.signs = dict(zip((b for b in range(256) if b not in plain), range(256, 512), strict=False))  # the byte-level alphabet
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[chunk[0] == " " :].isalpha():  # letters, with or without a blank before them, are one piece and go to the merges at once
+            ids = [t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.signs))]
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) < REMEMBERED:
+            self[chunk] = found
+        return found
+
+
 class ByteLevelEncoder:
     """Equal to Tokenizer.encode(text, add_special_tokens=False) of a byte-level BPE, but each chunk of a text is encoded once per worker.
 
-    The pre-tokenizer never joins what stands on both sides of a blank, and merges never cross its pieces; so the ids of a
+    The pre-tokenizer never joins what stands on both sides of a cut, and merges never cross its pieces; so the ids of a
     text are those of its chunks, one after the other."""
 
     def __init__(self, path: str) -> None:
@@ -38,48 +64,15 @@ class ByteLevelEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        self.known = KnownChunks(self.tokenizer)
 
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
-
-        out: list[bytes] = []
-        for at in range(0, len(chunks), 20_000):
-            part = chunks[at : at + 20_000]
-            found = self.tokenizer.encode_batch([part], add_special_tokens=False, is_pretokenized=True)[0]
-            ids = np.asarray(found.ids, "<u4")
-            ends = np.searchsorted(np.asarray(found.word_ids), np.arange(len(part)), side="right")
-            out += (x.tobytes() for x in np.split(ids, ends[:-1]))
-        return out
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        cut = [None if _ODD(t) else _CHUNKS(t) for t in texts]
-        new = [c for c in set().union(*(c for c in cut if c)) if c not in known]
-        here = dict(zip(new, self._chunks(new), strict=True))
-        if len(known) + len(here) <= REMEMBERED:
-            known.update(here)
-            here = known
-        else:
-            here = ChainLookup(here, known)
-        get = here.__getitem__
-        return [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut, strict=True)]
-
-
-class ChainLookup(dict):
-    """A dict that asks another one for what it misses."""
-
-    def __init__(self, own: dict[str, bytes], other: dict[str, bytes]) -> None:
-        super().__init__(own)
-        self.other = other
-
-    def __missing__(self, key: str) -> bytes:
-        return self.other[key]
+        ids = self.known.__getitem__
+        return [self.whole(t) if _ODD(t) else b"".join(map(ids, _CHUNKS(t))) for t in texts]
 
 
 _encoders: dict[str, ByteLevelEncoder] = {}
