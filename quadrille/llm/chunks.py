@@ -2,16 +2,16 @@
 
 A gear rolling hash over the UTF-8 bytes sets the cuts, so a passage has the same chunks wherever it stands, from its second
 cut on, whatever comes before it. Chunks are grouped by a 64-bit digest (a chance collision is harmless: only runs of several
-copies count); the first occurrence, by (doc_id, position), is the
-original and later ones are copies. Runs of neighbouring copies with MIN_WORDS words or more are removed, shorter ones are
-taken for common phrases and stay.
+copies count); the document with the smallest doc_id has the original, the first in its text, and all others are copies. Runs
+of neighbouring copies with MIN_WORDS words or more are removed, shorter ones are taken for common phrases and stay.
 
-Only chunk rows are shuffled by digest, never texts. A digest's rows meet in partial sums; the join back is one that Spark
-splits when a digest is hot. The copies of a document come back as a list bounded by its own length.
+Only (digest, doc_id) rows are shuffled by digest, each digest of a document once, never texts: the last pass cuts its texts
+again and needs no positions. A digest's rows meet in partial sums; the join back is one that Spark splits when a digest is
+hot. The copied digests of a document come back as a list bounded by its own length.
 
-Cases: null and empty texts have no chunks and come back as they are; repeated rows of a doc_id count as one document's
-occurrences at the same place and aren't copies of each other; a null doc_id is the last; an empty table gives no rows;
-columns of the input other than `text` and `n_chars` come back untouched."""
+Cases: null and empty texts have no chunks and come back as they are; rows of one doc_id count as one document and aren't
+copies of each other; a null doc_id is the last; an empty table gives no rows; columns of the input other than `text` and
+`n_chars` come back untouched."""
 
 from __future__ import annotations
 
@@ -70,35 +70,37 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
+def chunks_of(data: bytes) -> list[tuple[int, int, int]]:
+    """(first byte, end, digest) of each chunk."""
+    out, a = [], 0
+    for b in chunk_ends(data) if data else ():
+        out.append((a, b, xxhash.xxh3_64_intdigest(data[a:b]) - 2**63))
+        a = b
+    return out
+
+
 def chunk_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, at (byte), size, digest of every chunk of every text."""
+    """digest, d (the doc_id, or the largest integer for null): each digest of each text once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                ids, at, size, digests = [], [], [], []
                 part = batch.slice(k, 500)
-                for doc, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    data = (t or "").encode("utf-8", "surrogatepass")
-                    a = 0
-                    for b in chunk_ends(data) if data else ():
-                        ids.append(doc)
-                        at.append(a)
-                        size.append(b - a)
-                        digests.append(xxhash.xxh3_64_intdigest(data[a:b]))
-                        a = b
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(np.array(digests, np.uint64).view(np.int64))], ["doc_id", "at", "size", "digest"])
+                found = [np.fromiter({c[2] for c in chunks_of((t or "").encode("utf-8", "surrogatepass"))}, np.int64) for t in part.column(1).to_pylist()]
+                ids = np.repeat(np.asarray(part.column(0)), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], ["digest", "d"])
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id BIGINT, at INT, size INT, digest BIGINT")
+    return df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(2**63 - 1)).alias("d"), text).mapInArrow(run, "digest BIGINT, d BIGINT")
 
 
 def copies(chunks: DataFrame) -> DataFrame:
-    """doc_id, spans (array of at, size, in order): the chunks of each document that aren't the first of their digest."""
-    last = F.coalesce("doc_id", F.lit(2**63 - 1))
-    first = chunks.groupBy("digest").agg(F.min(F.struct(last.alias("d"), "at")).alias("first"), F.count("*").alias("n"))
-    again = first.where("n > 1").select("digest", "first")
-    found = chunks.join(again, "digest").where((last != F.col("first.d")) | (F.col("at") != F.col("first.at")))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "size"))).alias("spans"))  # of one document: bounded by its length
+    """d, digests: of each document the digests that a document with a smaller id has.
+
+    The first join side is written down, so that Spark may split the other one where a digest is hot."""
+    first = chunks.groupBy("digest").agg(F.min("d").alias("first"), F.count("*").alias("n"))
+    again = staged(first.where("n > 1").select("digest", "first"), "repeated")
+    found = chunks.join(again, "digest").where(F.col("d") != F.col("first"))
+    return found.groupBy("d").agg(F.collect_set("digest").alias("digests"))  # of one document: bounded by its length
 
 
 def runs_to_drop(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
@@ -112,9 +114,16 @@ def runs_to_drop(data: bytes, spans: list[tuple[int, int]], min_words: int) -> l
     return [(a, b) for a, b in out if len(data[a:b].split()) >= min_words]
 
 
-def cut_out(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its runs of copies, and those runs as code point positions. Cuts are moved to code point borders, inwards."""
+def cut_out(text: str, digests: set[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its runs of copies (chunks whose digest is in `digests` or stood in the text before), and those runs as code point positions.
+
+    Cuts are moved to code point borders, inwards."""
     data = text.encode("utf-8", "surrogatepass")
+    spans, seen = [], set()
+    for a, b, digest in chunks_of(data):
+        if digest in digests or digest in seen:
+            spans.append((a, b - a))
+        seen.add(digest)
     drop = runs_to_drop(data, spans, min_words)
     kept, gone, at, chars = [], [], 0, 0
     for a, b in drop:
@@ -134,9 +143,9 @@ def cut_out(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS)
 
 def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with `text` without its copied passages, n_chars (its code points) and removed: the passages' places in the old text (array of first, end)."""
-    spans_name, key = own("spans", "key")
-    spans = staged(copies(chunk_rows(df, doc_id=doc_id, text=text)), "copies").select(F.col("doc_id").alias(key), F.col("spans").alias(spans_name))
-    joined = df.drop("removed").join(spans, F.col(doc_id).cast("bigint").eqNullSafe(F.col(key)), "left").drop(key)
+    digests_name, key = own("digests", "key")
+    found = staged(copies(chunk_rows(df, doc_id=doc_id, text=text)), "copies").select(F.col("d").alias(key), F.col("digests").alias(digests_name))
+    joined = df.drop("removed").join(found, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(2**63 - 1)) == F.col(key), "left").drop(key)
     kept = [c for c in df.columns if c not in ("removed", "n_chars")]
     out = T.StructType([*(df.schema[c] for c in kept), T.StructField("n_chars", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     arrow = to_arrow_schema(out)
@@ -145,8 +154,8 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mi
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, gone = [], []
-            for t, spans in zip(batch.column(k).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
-                new, places = (t, []) if not spans or t is None else cut_out(t, [(s["at"], s["size"]) for s in spans], min_words)
+            for t, digests in zip(batch.column(k).to_pylist(), batch.column(len(kept)).to_pylist(), strict=True):
+                new, places = (t, []) if t is None else cut_out(t, set(digests or ()), min_words)
                 texts.append(new)
                 gone.append([{"first": a, "end": b} for a, b in places])
             columns = [batch.column(j) for j in range(len(kept))]
@@ -154,6 +163,6 @@ def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", mi
             lengths = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([*(c.cast(arrow.field(j).type) for j, c in enumerate(columns)), lengths, pa.array(gone, arrow.field(len(kept) + 1).type)], schema=arrow)
 
-    done = joined.select(*kept, spans_name).mapInArrow(run, out)
+    done = joined.select(*kept, digests_name).mapInArrow(run, out)
     order = [c for c in df.columns if c != "removed"]
     return done.select(*order, *([] if "n_chars" in order else ["n_chars"]), "removed")
