@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -74,14 +75,21 @@ class Table:
             raise ValueError(f"a table of {bits} bits")
         return Table(np.frombuffer(data, "<u4", n, 8), np.frombuffer(data, "<u4", n, 8 + 4 * n).astype(np.uint64))
 
-    @property
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        """Place in the table of each id that it has."""
+        out = np.zeros(int(self.ids[-1]) + 1 if len(self.ids) else 0, np.int32)
+        out[self.ids] = np.arange(len(self.ids))
+        return out
+
+    @cached_property
     def first(self) -> np.ndarray:
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.freq)[:-1].astype(np.uint64)]) if len(self.freq) else self.freq
 
 
 def encode_block(ids: np.ndarray, table: Table) -> bytes:
     """ids (at least one) as a block; id k belongs to lane k % lanes, row k // lanes."""
-    symbol = np.searchsorted(table.ids, ids)
+    symbol = table.symbols[ids]
     freq, first = table.freq[symbol], table.first[symbol]
     lanes = max(1, min(LANES, len(ids) // 64))
     rows = -(-len(ids) // lanes)
@@ -243,16 +251,31 @@ def _files(uri: str) -> tuple[Any, str]:
     return FileSystem.from_uri(uri)
 
 
+def squeezed(ids: bytes) -> bytes:
+    """32-bit ids for the way between stages: 16 bits each where that is enough, and compressed; the first byte tells which."""
+    import zstandard
+
+    wide = np.frombuffer(ids, "<u4")
+    narrow = not len(wide) or int(wide.max()) < 1 << 16
+    return (b"\x02" if narrow else b"\x04") + zstandard.ZstdCompressor(1).compress(wide.astype("<u2").tobytes() if narrow else ids)
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), "<u2" if data[0] == 2 else "<u4")
+
+
 def count_ids(tokens: DataFrame, ids: str = "ids") -> dict[int, int]:
     """How often each id occurs in all rows; the driver gets a row for each id of the vocabulary at most."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4")
-            here = np.bincount(flat, minlength=len(total))
-            here[: len(total)] += total
-            total = here
+            for at in range(0, batch.num_rows, 500):
+                here = np.bincount(np.concatenate([unsqueezed(x) for x in batch.column(0).slice(at, 500).to_pylist()]), minlength=len(total))
+                here[: len(total)] += total
+                total = here
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
@@ -263,7 +286,7 @@ MANIFEST = "path STRING, documents BIGINT, n_ids BIGINT, bytes BIGINT, first_doc
 
 
 def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids: str = "ids", shard_ids: int = SHARD_IDS) -> DataFrame:
-    """tokens (a table that reads the same twice) as a shared table file and shard files in `folder`. Returns the manifest, in which each row names a file; shards are ranges of doc_id."""
+    """tokens (a table that reads the same twice, its ids squeezed) as a shared table file and shard files in `folder`. Returns the manifest, in which each row names a file; shards are ranges of doc_id."""
     counts = count_ids(tokens, ids)
     table = Table.of(counts)
     where, base = _files(folder)
@@ -281,7 +304,7 @@ def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids:
                 if writer is None:
                     out = fs.open_output_stream(f"{at}/{name}", buffer_size=1 << 20)
                     writer = ShardWriter(out, Table.parse(packed))
-                writer.add(doc, np.frombuffer(data, "<u4"))
+                writer.add(doc, unsqueezed(data))
         if writer is not None:
             writer.close()
             out.close()
@@ -323,6 +346,6 @@ def token_files(docs: DataFrame, *, path: str, folder: str | None = None, end_id
     """Tokenizes whole documents once and writes them; returns the folder and the manifest."""
     from .tokens import token_ids
 
-    tokens = staged(token_ids(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text, path=path, end_id=end_id), "ids")
+    tokens = staged(token_ids(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text), text, path=path, end_id=end_id, form=squeezed), "ids", codec="uncompressed")
     folder = folder or new_path(docs.sparkSession, "tokens")
     return folder, write_files(tokens, folder, shard_ids=shard_ids)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
@@ -84,8 +84,8 @@ def encoder(path: str) -> ByteLevelEncoder:
     return _encoders[path]
 
 
-def token_ids(df: DataFrame, text: str = "text", *, path: str, end_id: int | None = END_ID, keys: tuple[str, ...] = ("doc_id",), out: str = "ids") -> DataFrame:
-    """keys and, in `out`, the ids of the whole `text` (null: empty), then end_id. One row for each row; no shuffle."""
+def token_ids(df: DataFrame, text: str = "text", *, path: str, end_id: int | None = END_ID, keys: tuple[str, ...] = ("doc_id",), out: str = "ids", form: Callable[[bytes], bytes] = bytes) -> DataFrame:
+    """keys and, in `out`, the ids of the whole `text` (null: empty), then end_id, in the form told. One row for each row; no shuffle."""
     rows = df.select(*keys, text)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(out, T.BinaryType(), False)])
@@ -95,7 +95,7 @@ def token_ids(df: DataFrame, text: str = "text", *, path: str, end_id: int | Non
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column(len(keys)).to_pylist()])]
+                ids = [form(x + end) for x in enc.encode([t or "" for t in part.column(len(keys)).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(ids, pa.binary())], [*keys, out])
 
     return rows.mapInArrow(encode, schema)
