@@ -28,40 +28,62 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _pairs(h: Column, n: Column) -> Column:
-    """Hashes of neighbours in h, which has n >= 2 elements."""
-    return F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
+def pair_hashes(h: Column) -> Column:
+    """Hashes of neighbours in h."""
+    n = F.size(h)
+    pairs = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
+    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(pairs)
 
 
-def grams(h: Column) -> Column:
-    """Buckets of the unigrams and bigrams of word hashes h."""
-    none = F.array().cast("array<bigint>")
-    both = F.concat(h, F.when(F.size(h) < 2, none).otherwise(_pairs(h, F.size(h))))
-    return F.transform(both, lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))
+def bucket(gram: Column) -> Column:
+    return F.pmod(gram, F.lit(BUCKETS)).cast("int")
 
 
-def repeat_words(h: Column) -> Column:
-    """Words in windows of three that occur twice or more."""
+def window_hashes(h: Column, pairs: Column) -> Column:
+    """Hashes of windows of three words; pairs: pair_hashes(h)."""
     n = F.size(h)
-    threes = F.zip_with(_pairs(F.slice(h, F.lit(1), n - 1), n - 1), F.slice(h, F.lit(3), n - 2), lambda ab, c: F.xxhash64(ab, c))
-    return F.when(n < 4, F.lit(0)).otherwise(_covered(threes))
+    threes = F.zip_with(F.slice(pairs, F.lit(1), n - 2), F.slice(h, F.lit(3), n - 2), lambda ab, c: F.xxhash64(ab, c))
+    return F.when(n < 3, F.array().cast("array<bigint>")).otherwise(threes)
 
 
-def _covered(threes: Column) -> Column:
-    tagged = F.sort_array(F.transform(threes, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+#: Bits of a sort key that hold a window's place; the others are its hash's.
+PLACE = 24
+
+
+def repeat_words(rows: DataFrame, threes: str, out: str) -> DataFrame:
+    """rows with out: the words under the windows (a column of window_hashes()) that occur twice or more.
+
+    Windows are sorted by hash and place packed in one number; neighbours are compared by their whole hashes. What a lambda
+    reads is a column of its own, or it would be worked out for each element."""
+    t, mask = F.col(threes), (1 << PLACE) - 1
+    m = F.size(t)
+    several = (F.size(F.array_distinct(t)) < m) & (m <= mask)
+    keys = F.sort_array(F.transform(t, lambda v, i: v.bitwiseAND(~mask).bitwiseOR(i.cast("bigint"))))
+    rows = rows.withColumn("__keys", F.when(several, keys))
+    k = F.col("__keys")
+    at = lambda x: F.get(t, x.bitwiseAND(mask).cast("int"))
+    same = F.zip_with(F.slice(k, F.lit(1), m - 1), F.slice(k, F.lit(2), m - 1), lambda a, b: F.when((F.shiftright(a, PLACE) == F.shiftright(b, PLACE)) & (at(a) == at(b)), F.array(a.bitwiseAND(mask), b.bitwiseAND(mask))))
+    rows = rows.withColumn("__found", F.when(k.isNotNull(), F.flatten(F.array_compact(same))))
+    words = F.concat("__found", F.transform("__found", lambda x: x + 1), F.transform("__found", lambda x: x + 2))
+    covered = F.when(k.isNotNull(), F.size(F.array_distinct(words))).when(m > mask, _covered_long(t)).otherwise(0)
+    return rows.withColumn(out, covered.cast("bigint")).drop("__keys", "__found")
+
+
+def _covered_long(threes: Column) -> Column:
+    """The same for texts of more windows than a sort key can tell apart."""
     m = F.size(threes)
+    tagged = F.sort_array(F.transform(threes, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
     found = F.flatten(F.zip_with(F.slice(tagged, F.lit(1), m - 1), F.slice(tagged, F.lit(2), m - 1), lambda x, y: F.when(x["v"] == y["v"], F.array(x["i"], x["i"] + 1, x["i"] + 2, y["i"], y["i"] + 1, y["i"] + 2)).otherwise(F.array().cast("array<int>"))))
-    return F.when(F.size(F.array_distinct(threes)) == m, F.lit(0)).otherwise(F.size(F.array_distinct(found)))
+    return F.size(F.array_distinct(found))
 
 
-def base_columns(text: Column, words: Column, h: Column) -> dict[str, Column]:
+def base_columns(text: Column, words: Column) -> dict[str, Column]:
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("bigint"),
         "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
         "n_symbols": F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[#*$%&|<>]")).cast("bigint"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint"),
-        "n_repeat_words": repeat_words(h).cast("bigint"),
     }
 
 
@@ -70,7 +92,8 @@ def ratios(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: st
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct()
     good = good.orderBy(F.xxhash64("__id"), "__id").limit(most)  # 8 bytes a row: a proven bound for the broadcast
     rows = df.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(good.withColumn("__good", F.lit(1))), F.col("__doc") == F.col("__id"), "left")
-    each = rows.select("__good", words_of(F.col("__text")).alias("w")).select("__good", F.explode(grams(word_hashes(F.col("w")))).alias("bucket"))
+    hashes = rows.select("__good", word_hashes(words_of(F.col("__text"))).alias("h"))
+    each = hashes.select("__good", F.explode(F.concat("h", pair_hashes(F.col("h")))).alias("gram")).select("__good", bucket(F.col("gram")).alias("bucket"))
     counts = staged(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("trusted")), "grams")
     raw, trusted = (n or 0 for n in counts.agg(F.sum("raw"), F.sum("trusted")).first())
     prior = PRIOR * BUCKETS
@@ -84,9 +107,13 @@ def judge(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     table = staged(ratios(df, labels, doc_id=doc_id, text=text, label=label, most=most), "ratios")
     slots = df.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(table, "bucket", "left")
     array = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("r")))), lambda s: s["r"]).alias("r")).scalar()  # BUCKETS numbers
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).withColumn("__w", words_of(F.col("__text"))).withColumn("__h", word_hashes(F.col("__w")))
-    rows = rows.withColumn("__g", grams(F.col("__h"))).withColumn("__table", array)
-    total = F.aggregate("__g", F.lit(0.0), lambda sum_, g: sum_ + F.get(F.col("__table"), g))
-    out = rows.select("doc_id", *(c.alias(n) for n, c in base_columns(F.col("__text"), F.col("__w"), F.col("__h")).items()), F.when(F.size("__g") > 0, total / F.size("__g")).otherwise(0.0).alias("ratio"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).withColumn("__w", words_of(F.col("__text")))
+    rows = rows.select("doc_id", word_hashes(F.col("__w")).alias("__h"), *(c.alias(n) for n, c in base_columns(F.col("__text"), F.col("__w")).items()))
+    rows = rows.withColumn("__p", pair_hashes(F.col("__h")))
+    rows = rows.withColumn("__t", window_hashes(F.col("__h"), F.col("__p"))).withColumn("__table", array)
+    add = lambda sum_, g: sum_ + F.get(F.col("__table"), bucket(g))
+    total = F.aggregate("__p", F.aggregate("__h", F.lit(0.0), add), add)
+    rows = repeat_words(rows.withColumn("ratio", F.when(F.size("__h") > 0, total / (F.size("__h") + F.size("__p"))).otherwise(0.0)), "__t", "n_repeat_words")
+    out = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= keep_from))
