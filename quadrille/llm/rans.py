@@ -37,7 +37,7 @@ HEAD = struct.Struct("<8sI")
 TAIL = struct.Struct("<QI8s")
 BLOCK = struct.Struct("<IIIIIII")  # ids, lanes, rows between checkpoints, checkpoints, words, checksum of the rest, of the ids
 #: Ids a block and lanes of a block at most; rows between two checkpoints; ids a shard in the mean.
-BLOCK_IDS, LANES, EVERY, SHARD_IDS = 1 << 20, 2048, 256, 4_000_000
+BLOCK_IDS, LANES, EVERY, SHARD_IDS = 1 << 20, 4096, 128, 4_000_000
 
 
 @dataclass(frozen=True)

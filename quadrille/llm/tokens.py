@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from typing import TYPE_CHECKING
 
@@ -31,6 +32,13 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def packed(ids: list[int]) -> bytes:
+    data = array("I", ids)
+    if sys.byteorder == "big":
+        data.byteswap()
+    return data.tobytes()
+
+
 class KnownChunks(dict):
     """Chunk to ids; a chunk that isn't known is encoded when it is asked for, and remembered while there is room."""
 
@@ -40,13 +48,18 @@ class KnownChunks(dict):
         tokenizer.model._resize_cache(0)  # this dict takes its place
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.signs = dict(zip((b for b in range(256) if b not in plain), range(256, 512), strict=False))  # the byte-level alphabet
+        self.blank = chr(self.signs[32])
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk[chunk[0] == " " :].isalpha():  # letters, with or without a blank before them, are one piece and go to the merges at once
-            ids = [t.id for t in self.merge(chunk.encode().decode("latin-1").translate(self.signs))]
+        letters = chunk[1:] if chunk[0] == " " else chunk
+        if letters.isalpha():  # letters, with or without a blank before them, are one piece and go to the merges at once
+            if chunk.isascii():
+                signs = letters if letters is chunk else self.blank + letters
+            else:
+                signs = chunk.encode().decode("latin-1").translate(self.signs)
+            found = packed([t.id for t in self.merge(signs)])
         else:
-            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        found = struct.pack(f"<{len(ids)}I", *ids)
+            found = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if len(self) < REMEMBERED:
             self[chunk] = found
         return found
@@ -67,8 +80,7 @@ class ByteLevelEncoder:
         self.known = KnownChunks(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids = self.known.__getitem__
