@@ -90,8 +90,8 @@ def unzigzag16(code: Column) -> Column:
 
 def varint_size(v: Column) -> Column:
     """Bytes of a number in groups of seven bits."""
-    out = F.lit(10)
-    for n in range(9, 0, -1):
+    out = F.lit(9)  # of a BIGINT that isn't negative
+    for n in range(8, 0, -1):
         out = F.when(v < (1 << 7 * n), n).otherwise(out)
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,17 @@ def drop_staged() -> None:
                 _delete(spark, path)
         except Exception:  # noqa: BLE001, S110  the session has ended, and its shared folder is the cluster's to clean
             pass
+
+
+def reused(make: Callable[[], DataFrame], spark: SparkSession, path: str, key: str) -> DataFrame:
+    """The table at `path` if it was written whole under the same key, else make() written there. The key goes last, so that a broken write counts as none."""
+    note = f"{path}.key"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(note)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where) or [r.value for r in spark.read.text(note).collect()] != [key]:
+        if fs.exists(where):
+            fs.delete(where, True)
+        make().write.mode("overwrite").option("compression", "zstd").parquet(path)
+        spark.createDataFrame([(key,)], "value STRING").coalesce(1).write.text(note)
+    return spark.read.parquet(path)

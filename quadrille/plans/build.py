@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,11 @@ from ..functions.kinds import ZOOMS
 from ..kernels.pmtiles import Header
 from ..operators import network as N
 from ..operators import shapes as S
-from ..operators.storage import new_path, staged
+from ..operators.graph import components
+from ..operators.storage import new_path, reused, staged
 from ..sources import register
 from ..sources.pmtiles import write_archive
+from ..sources.ranges import open_ranges
 
 
 @dataclass(frozen=True)
@@ -30,10 +33,15 @@ class TileBuildConfig:
     extent: int = M.EXTENT
 
 
-def read_extract(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """nodes, ways and relations of a PBF file, each staged as a table, so that later passes read columns."""
+def read_extract(spark: SparkSession, path: str, keep: str | None = None) -> dict[str, DataFrame]:
+    """nodes, ways and relations of a PBF file, each staged as a table, so that later passes read columns. keep: a folder whose tables later builds of the same file use again."""
     register(spark)
-    return {kind: staged(spark.read.format("osmpbf").option("kind", kind).load(path), kind) for kind in ("nodes", "ways", "relations")}
+    kinds = ("nodes", "ways", "relations")
+    read = lambda kind: spark.read.format("osmpbf").option("kind", kind).load(path)
+    if keep is None:
+        return {kind: staged(read(kind), kind) for kind in kinds}
+    key = f"{path} {open_ranges(path).size()}"
+    return {kind: reused(lambda kind=kind: read(kind), spark, f"{keep}/{kind}", key) for kind in kinds}
 
 
 def read_water(spark: SparkSession, path: str) -> DataFrame:
@@ -116,33 +124,50 @@ def node_shapes(nodes: DataFrame) -> DataFrame:
     return labels.unionByName(_shape(n.where("poi IS NOT NULL"), "poi", id=F.col("id"), kind=F.col("poi"), rings=F.col("at")))
 
 
-def feature_roads(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
-    """Merged lines for coarse zooms: routes with a motorway, and national borders."""
+@dataclass(frozen=True)
+class RelationFeature:
+    """Relations whose member ways become merged lines for coarse zooms: which relations it claims, the road kind of its lines, kinds of which a relation needs one member (all its members then count), and whether lines that run along longer ones go."""
+
+    kind: int
+    claims: Callable[[Column], Column]
+    needs: tuple[int, ...] = ()
+    thin: bool = False
+
+
+#: Routes with a motorway, and national borders. Others can be added; a kind below 16 tells features apart.
+FEATURES = (
+    RelationFeature(12, lambda tags: C.has(tags, "route", "road"), needs=(0, 16), thin=True),
+    RelationFeature(15, lambda tags: C.has(tags, "boundary", "administrative") & C.has(tags, "admin_level", "2")),
+)
+
+
+def feature_roads(nodes: DataFrame, ways: DataFrame, relations: DataFrame, features: tuple[RelationFeature, ...] = FEATURES) -> DataFrame:
+    """All features share one scan of relations, one of ways and one of nodes. Lines that meet end to end form a group, whichever relation they come from, and are joined to strokes in it."""
     t = F.col("tags")
-    claimed = relations.withColumn("feature", F.when(C.has(t, "route", "road"), 12).when(C.has(t, "boundary", "administrative") & C.has(t, "admin_level", "2"), 15)).where("feature IS NOT NULL")
-    members = N.members_of(claimed.select("id", "members")).join(claimed.select(F.col("id").alias("rel_id"), "feature"), "rel_id")
+    which = F.array_compact(F.array(*(F.when(f.claims(t), f.kind) for f in features)))
+    claimed = staged(relations.withColumn("feature", F.explode(which)).select("id", "members", "feature"), "claimed")
+    members = N.members_of(claimed.select("id", "members").dropDuplicates(["id"])).join(claimed.select(F.col("id").alias("rel_id"), "feature"), "rel_id")
     kinds = ways.select(F.col("id").alias("way_id"), C.classify_way(t)["kind"].alias("kind"), "refs")
     m = staged(members.join(kinds, "way_id").select("rel_id", "feature", "way_id", "kind", "refs"), "members")
-    routes = N.with_any(m.where("feature = 12"), "rel_id", F.col("kind").isin(0, 16))
-    chosen = routes.unionByName(m.where("feature = 15")).select("feature", "way_id", "refs").dropDuplicates(["feature", "way_id"])
+    chosen = None
+    for f in features:
+        one = m.where(F.col("feature") == f.kind)
+        one = N.with_any(one, "rel_id", F.col("kind").isin(*f.needs)) if f.needs else one
+        chosen = one if chosen is None else chosen.unionByName(one)
+    chosen = chosen.select("feature", "way_id", "refs").dropDuplicates(["feature", "way_id"])
     chosen = staged(chosen.withColumn("key", F.struct("feature", "way_id")), "chosen")
     lines = vertices(chosen.select("key", F.posexplode("refs").alias("pos", "node_id")), nodes, "key").select("key.*", F.col("points").alias("coords")).where("size(coords) >= 2")
-    # Lines that share an end form one group, whichever relation they come from.
     ends = lines.select("feature", "way_id", F.explode(F.array(F.get("coords", F.lit(0)), F.element_at("coords", -1))).alias("p")).select("feature", "way_id", F.round(F.col("p.x") * 10).alias("ex"), F.round(F.col("p.y") * 10).alias("ey"))
-    from ..operators.graph import components
-
     hubs = ends.groupBy("feature", "ex", "ey").agg(F.min("way_id").alias("hub"))
-    links = ends.join(hubs, ["feature", "ex", "ey"]).select((F.col("way_id") * 16 + F.col("feature")).alias("a"), (F.col("hub") * 16 + F.col("feature")).alias("b"))
-    label = components(links)
+    label = components(ends.join(hubs, ["feature", "ex", "ey"]).select((F.col("way_id") * 16 + F.col("feature")).alias("a"), (F.col("hub") * 16 + F.col("feature")).alias("b")))
     own = F.col("way_id") * 16 + F.col("feature")
     together = lines.join(label, own == F.col("node"), "left").withColumn("group", F.coalesce("label", own)).select("group", "way_id", "coords")
-    chained = S.strokes(together, "group").select((F.col("group") * 4096 + F.col("stroke")).alias("id"), "coords", (F.col("group") % 16).alias("feature"))
-    chained = staged(chained, "strokes")
+    chained = staged(S.strokes(together, "group").select((F.col("group") * 4096 + F.col("stroke")).alias("id"), "coords", (F.col("group") % 16).alias("feature")), "strokes")
     out = None
-    for feature in (12, 15):
-        one = chained.where(F.col("feature") == feature)
-        one = S.without_parallels(one) if feature == 12 else one
-        shaped = _shape(one, "road", id=F.col("id"), kind=F.lit(feature), lanes_fwd=F.lit(1), lanes_bwd=F.lit(1), rings=F.array("coords"), aggregated=F.lit(True))
+    for f in features:
+        one = chained.where(F.col("feature") == f.kind)
+        one = S.without_parallels(one) if f.thin else one
+        shaped = _shape(one, "road", id=F.col("id"), kind=F.lit(f.kind), lanes_fwd=F.lit(1), lanes_bwd=F.lit(1), rings=F.array("coords"), aggregated=F.lit(True))
         out = shaped if out is None else out.unionByName(shaped)
     return out
 

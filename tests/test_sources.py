@@ -94,3 +94,17 @@ def test_http_ranges():
     with pytest.raises(OSError):
         ranges.open_ranges(f"{url}/no").read(0, 1)
     server.shutdown()
+
+
+def test_tables_are_used_again(s, tmp_path):
+    from quadrille.operators.storage import reused
+
+    made = []
+
+    def make():
+        made.append(1)
+        return s.range(3)
+
+    for key in ("a", "a", "b"):
+        assert reused(make, s, f"file://{tmp_path}/t", key).count() == 3
+    assert len(made) == 2
