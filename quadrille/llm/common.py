@@ -1,61 +1,16 @@
-"""What the operators of this subpackage share: staged tables in the cluster's shared folder, and names that cannot clash."""
+"""What the operators of this subpackage share: words, names that cannot clash, and the library's staged tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java regular expression.
-SPACES = r"[\x20\x09-\x0D]+"
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (local tests) a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        _staged.append((spark, found))
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses; it goes when the driver ends."""
-    path = f"{shared_dir(spark)}/quadrille-{label}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
+from ..operators.storage import new_path, shared_dir, staged
 
+__all__ = ["SPACES", "new_path", "own", "shared_dir", "staged", "table", "words_of"]
 
-def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def drop_staged() -> None:
-    """Deletes what staged() and new_path() have left, as far as the session still lives."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001, S110  the session has ended, and its shared folder is the cluster's to clean
-            pass
+#: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java regular expression.
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def words_of(text: Column) -> Column:
