@@ -22,10 +22,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import parts_for, staged
 
-#: Rows that a range of neighbours holds, in the mean.
-RANGE_ROWS = 2000
+#: Rows that a range of neighbours holds at least (if there are that many) and at most, in the mean.
+RANGE_ROWS = (2000, 50_000)
 
 
 def canonical(text: str | None) -> str:
@@ -86,7 +86,7 @@ def pair_with_next(df: DataFrame, fields: str, fn: Callable[[str, str], tuple],
     Texts move once, to ranges of doc_id. What a range can't decide alone, its last row with the first row of the range
     after it, is kept beside the results: two rows of each range, paired by a join in the end."""
     rows = _rows(df, doc_id, text)
-    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    ranges = parts_for(df.sparkSession, rows.count(), *RANGE_ROWS)
     out = [*T.StructType.fromDDL(fields)]
     inner = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("edge", T.IntegerType()), T.StructField("text", T.StringType()), *out])
     arrow = to_arrow_schema(inner)

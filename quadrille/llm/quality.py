@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import own, staged
+from .common import hash_sample, own, staged
 
 #: Labelled rows that the fit uses at most.
 FIT_ROWS = 20_000
@@ -91,7 +91,7 @@ class Model:
 def fit(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = FIT_ROWS) -> Model:
     """On at most `most` labelled rows; only their features come to the driver."""
     chosen = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg(F.max(label).alias("__label"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(most)  # 12 bytes a row: a proven bound for the broadcast
+    chosen = hash_sample(chosen, "__id", most)  # 12 bytes a row: a proven bound for the broadcast
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, staged
+from .common import new_path, parts_for, staged
 
 MAGIC = b"TOKRANS1"
 BITS = 20  # the frequencies of a table add up to 2^BITS
@@ -36,8 +36,8 @@ LOW = np.uint64(1 << 31)  # states are in [2^31, 2^63)
 HEAD = struct.Struct("<8sI")
 TAIL = struct.Struct("<QI8s")
 BLOCK = struct.Struct("<IIIIIII")  # ids, lanes, rows between checkpoints, checkpoints, words, checksum of the rest, of the ids
-#: Ids a block and lanes of a block at most; rows between two checkpoints; ids a shard in the mean.
-BLOCK_IDS, LANES, EVERY, SHARD_IDS = 1 << 20, 4096, 128, 4_000_000
+#: Ids a block and lanes of a block at most; rows between two checkpoints; ids a shard at least (if there are that many) and at most, in the mean.
+BLOCK_IDS, LANES, EVERY, SHARD_IDS = 1 << 20, 4096, 128, (4_000_000, 128_000_000)
 
 
 @dataclass(frozen=True)
@@ -285,7 +285,7 @@ def count_ids(tokens: DataFrame, ids: str = "ids") -> dict[int, int]:
 MANIFEST = "path STRING, documents BIGINT, n_ids BIGINT, bytes BIGINT, first_doc BIGINT, first_null BOOLEAN"
 
 
-def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids: str = "ids", shard_ids: int = SHARD_IDS) -> DataFrame:
+def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids: str = "ids", shard_ids: tuple[int, int] = SHARD_IDS) -> DataFrame:
     """tokens (a table that reads the same twice, its ids squeezed) as a shared table file and shard files in `folder`. Returns the manifest, in which each row names a file; shards are ranges of doc_id."""
     counts = count_ids(tokens, ids)
     table = Table.of(counts)
@@ -310,7 +310,7 @@ def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids:
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "documents": len(writer.ids), "n_ids": writer.total, "bytes": writer.at, "first_doc": writer.ids[0], "first_null": writer.nulls[0]}])
 
-    shards = max(1, round(sum(counts.values()) / shard_ids))
+    shards = parts_for(tokens.sparkSession, sum(counts.values()), *shard_ids)
     rows = tokens.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(ids).alias("ids")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
     return staged(rows.mapInArrow(write, MANIFEST), "manifest")
 
@@ -342,7 +342,7 @@ def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFra
     return shards.repartition(tasks, "path").mapInArrow(read, "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT")
 
 
-def token_files(docs: DataFrame, *, path: str, folder: str | None = None, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", shard_ids: int = SHARD_IDS) -> tuple[str, DataFrame]:
+def token_files(docs: DataFrame, *, path: str, folder: str | None = None, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", shard_ids: tuple[int, int] = SHARD_IDS) -> tuple[str, DataFrame]:
     """Tokenizes whole documents once and writes them; returns the folder and the manifest."""
     from .tokens import token_ids
 

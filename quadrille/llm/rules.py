@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, words_of
+from .common import hash_sample, staged, words_of
 
 BUCKETS = 1 << 14
 #: Trusted documents counted at most; weight of the raw multinomial in the trusted one, in n-grams a bucket.
@@ -90,7 +90,7 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
 def ratios(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRUSTED) -> DataFrame:
     """bucket, ratio: log of trusted over raw probability, for each bucket that occurs."""
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct()
-    good = good.orderBy(F.xxhash64("__id"), "__id").limit(most)  # 8 bytes a row: a proven bound for the broadcast
+    good = hash_sample(good, "__id", most)  # 8 bytes a row: a proven bound for the broadcast
     rows = df.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(good.withColumn("__good", F.lit(1))), F.col("__doc") == F.col("__id"), "left")
     hashes = rows.select("__good", word_hashes(words_of(F.col("__text"))).alias("h"))
     each = hashes.select("__good", F.explode(F.concat("h", pair_hashes(F.col("h")))).alias("gram")).select("__good", bucket(F.col("gram")).alias("bucket"))

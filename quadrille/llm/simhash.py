@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import staged
+from .common import hash_sample, staged
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Distinct fingerprints that fit the trees; vantage points tried for a node; rows of a leaf aimed at; rows of a leaf's block.
@@ -158,7 +158,7 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE, leaf_rows: int = LEA
     rows = distinct.count()
     radius = distance // 2
     depth = max(0, min(16, int(np.ceil(np.log2(max(1, rows) / leaf_rows)))))
-    sample = np.array([r.fp for r in distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)) < int((1 << 32) * min(1.0, 4 * SAMPLE / max(1, rows)))).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r.fp for r in hash_sample(distinct.select("fp"), "fp", SAMPLE).collect()], np.int64).view(np.uint64)
     halves = ((np.uint64(0), "low"), (np.uint64(32), "high"))
     mask = np.uint64(0xFFFFFFFF)
     trees = [Tree.fit(np.unique((sample >> shift) & mask), depth, radius) for shift, _ in halves]

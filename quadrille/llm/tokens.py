@@ -18,7 +18,7 @@ if TYPE_CHECKING:
 
 END_ID = 2
 #: Chunks of which a worker remembers the ids; about 200 bytes each. The first ones seen stay: frequent ones come early.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 #: Splits only where the byte-level pre-tokenizer splits in any case: before a single blank, around runs of white space,
 #: and between letters or digits and the full stops or commas after them.
 _CHUNKS = re.compile(r" ?[^\W_]++(?=[ \t-\r.,]|\Z)|[.,]++(?=[^\W_]|[ \t-\r]|\Z)| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall

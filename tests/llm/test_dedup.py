@@ -88,7 +88,7 @@ def test_links_connect_all_that_all_pairs_connect(spark, monkeypatch, split):
                 f ^= 1 << int(rng.integers(64))
             fps.add(f)
     fps = sorted(fps)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp BIGINT").localCheckpoint() if False else spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp BIGINT")
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp BIGINT")
     found = simhash.links(df, leaf_rows=16).collect()
     assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in found)
     label = {r.node: r.label for r in simhash.components(spark.createDataFrame([(r.a, r.b) for r in found], "a BIGINT, b BIGINT")).collect()}
@@ -164,7 +164,7 @@ def test_fingerprints(spark):
         new = t[: len(t) - q] + after[:q]
         same = lambda a, b: float(fingerprints.canonical(a) == fingerprints.canonical(b))
         want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), fingerprints.digest(fingerprints.canonical(t)), fingerprints.digest(fingerprints.canonical(new)), same(t, new), same(t, after)))
-    old, fingerprints.RANGE_ROWS = fingerprints.RANGE_ROWS, 5
+    old, fingerprints.RANGE_ROWS = fingerprints.RANGE_ROWS, (5, 5)
     try:
         got = [tuple(r)[:7] for r in fingerprints.fingerprints(frame(spark, rows)).collect()]
     finally:
