@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrille.llm import chunks, mixing, packing, quality, simhash
-from quadrille.llm.common import staged, table
+from quadrille.llm.common import small_batches, staged, table
 from quadrille.llm.tokens import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -16,28 +16,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
+    small_batches(spark)
     return quality.judge(docs.select(COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group; documents without an id stay."""
+    small_batches(spark)
     found = staged(simhash.near_duplicates(docs), "near")
     return docs.select(COLUMNS).join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that an earlier one has; those of which nothing is left go."""
+    small_batches(spark)
     out = chunks.deduplicate(docs.select(COLUMNS))
     return out.where((F.size("removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mixture takes, in training order."""
+    small_batches(spark)
     return mixing.mix(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece's place in the packed sequences."""
+    small_batches(spark)
     return packing.pack_documents(docs, path=vocabulary())
 
 
