@@ -235,32 +235,38 @@ def super_relation_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.super_relation_ways(r, r.where("segment = 'BUILDING'").select("id"))
 
 
-@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id, lon, lat FROM nodes WHERE id IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND date < TIMESTAMP '1995-07-01'))")
+@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id, lon, lat FROM nodes WHERE id IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND status = 'P'))")
 def referenced_nodes_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).join(slice_refs(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_semi")
+    return nodes(spark, sf_dir).join(motorway_tunnels(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_semi")
 
 
-@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id FROM nodes WHERE id NOT IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND date < TIMESTAMP '1995-07-01'))")
+@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id FROM nodes WHERE id NOT IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND status = 'P'))")
 def missing_nodes_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).select("id").join(slice_refs(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_anti")
+    return nodes(spark, sf_dir).select("id").join(motorway_tunnels(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_anti")
 
 
-def slice_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.refs_of(ways(spark, sf_dir).where((C.classify_way(c("tags"))["kind"] == 0) & (c("date") < lit("1995-07-01").cast("timestamp"))))
+def motorway_tunnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of the ways with both tags."""
+    t = c("tags")
+    return N.refs_of(ways(spark, sf_dir).where((C.classify_way(t)["kind"] == 0) & (C.structure_of(t) == 2)))
 
 
-_JUNCTION_SQL = REFS_SQL + ", " + WAYS_SQL + ", part_refs AS (SELECT * FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND date < TIMESTAMP '1995-07-01')), junctions AS (SELECT node_id, count(*) AS refs FROM part_refs GROUP BY node_id HAVING count(*) >= 2)"
+def road_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.refs_of(ways(spark, sf_dir).where(C.classify_way(c("tags"))["shape"] == "road"))
+
+
+_JUNCTION_SQL = REFS_SQL + ", junctions AS (SELECT node_id, count(*) AS refs FROM refs GROUP BY node_id HAVING count(*) >= 2)"
 
 
 @query(f"WITH {_JUNCTION_SQL} SELECT * FROM junctions")
 def junction_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.junctions(slice_refs(spark, sf_dir))
+    return N.junctions(road_refs(spark, sf_dir))
 
 
-@query(f"""WITH {_JUNCTION_SQL}, ends AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b FROM part_refs GROUP BY way_id)
+@query(f"""WITH {_JUNCTION_SQL}, ends AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b FROM refs GROUP BY way_id)
 SELECT way_id, CASE WHEN a IN (SELECT node_id FROM junctions) THEN 0 ELSE 1 END AS start_state, CASE WHEN b IN (SELECT node_id FROM junctions) THEN 0 ELSE 1 END AS end_state FROM ends""")
 def edge_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    refs = slice_refs(spark, sf_dir)
+    refs = road_refs(spark, sf_dir)
     ends = refs.groupBy("way_id").agg(F.min_by("node_id", "pos").alias("a"), F.max_by("node_id", "pos").alias("b"))
     j = N.junctions(refs).select("node_id")
     at = lambda side: j.select(c("node_id").alias(side), lit(True).alias(f"j_{side}"))
@@ -365,14 +371,13 @@ def ring_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("way_id", *(F.round(f"b.{k}", 3).alias(k) for k in ("min_x", "min_y", "max_x", "max_y")))
 
 
-_ENDS_SQL = REFS_SQL + ", " + WAYS_SQL + """, part_ways AS (SELECT * FROM ways WHERE date < TIMESTAMP '1996-01-01'),
-first_last AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b, count(*) AS n FROM refs GROUP BY way_id HAVING count(*) >= 2),
-ends AS (SELECT kind, id AS road, 0 AS side, a % 200 * 6 AS x, a // 200 * 6 AS y, (n % 5 + 1)::INT AS lanes FROM part_ways JOIN first_last ON id = way_id UNION ALL SELECT kind, id, 1, b % 200 * 6, b // 200 * 6, (n % 5 + 1)::INT FROM part_ways JOIN first_last ON id = way_id)"""
+_ENDS_SQL = REFS_SQL + ", " + WAYS_SQL + """, first_last AS (SELECT way_id, arg_min(node_id, pos) AS a, arg_max(node_id, pos) AS b, count(*) AS n FROM refs GROUP BY way_id HAVING count(*) >= 2),
+ends AS (SELECT kind, id AS road, 0 AS side, a % 200 * 6 AS x, a // 200 * 6 AS y, (n % 5 + 1)::INT AS lanes FROM ways JOIN first_last ON id = way_id UNION ALL SELECT kind, id, 1, b % 200 * 6, b // 200 * 6, (n % 5 + 1)::INT FROM ways JOIN first_last ON id = way_id)"""
 
 
 def road_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     """kind, road, side, x, y, lanes on a grid of six units for each node."""
-    w = ways(spark, sf_dir).where(c("date") < lit("1996-01-01").cast("timestamp")).where(F.size("refs") >= 2)
+    w = ways(spark, sf_dir).where(F.size("refs") >= 2)
     end = lambda side, at: F.struct(lit(side).alias("side"), (at % 200 * 6).alias("x"), (F.floor(at / 200) * 6).alias("y"))
     both = F.array(end(0, F.get("refs", lit(0))), end(1, F.element_at("refs", -1)))
     return w.select(C.classify_way(c("tags"))["kind"].alias("kind"), c("id").alias("road"), F.explode(both).alias("e"), (F.size("refs") % 5 + 1).alias("lanes")).select("kind", "road", "e.*", "lanes")
@@ -495,18 +500,18 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select(text.alias("metadata"), F.size(F.from_json(text, "format STRING, zoom_levels ARRAY<INT>")["zoom_levels"]).cast("bigint").alias("n"))
 
 
-@query(f"""WITH {_LINES_SQL}, {WAYS_SQL}, b AS (SELECT way_id AS id, floor(min_x) AS min_x, floor(min_y) AS min_y, floor(min_x) + 200 AS max_x, floor(min_y) + 150 AS max_y FROM boxes WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND date < TIMESTAMP '1995-07-01'))
+@query(f"""WITH {_LINES_SQL}, {WAYS_SQL}, b AS (SELECT way_id AS id, floor(min_x) AS min_x, floor(min_y) AS min_y, floor(min_x) + 200 AS max_x, floor(min_y) + 150 AS max_y FROM boxes WHERE way_id IN (SELECT id FROM ways WHERE kind = 0))
 SELECT l.id AS a, r.id AS b FROM b l JOIN b r ON l.id < r.id AND l.min_x <= r.max_x + 150 AND r.min_x <= l.max_x + 150 AND l.min_y <= r.max_y + 150 AND r.min_y <= l.max_y + 150""")
 def parallel_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ways(spark, sf_dir).where((C.classify_way(c("tags"))["kind"] == 0) & (c("date") < lit("1995-07-01").cast("timestamp")))
+    w = ways(spark, sf_dir).where(C.classify_way(c("tags"))["kind"] == 0)
     b = N.lines(N.resolve(N.refs_of(w), nodes(spark, sf_dir))).select(c("way_id").alias("id"), G.bbox(c("coords")).alias("b"))
     b = b.select("id", F.floor("b.min_x").cast("double").alias("min_x"), F.floor("b.min_y").cast("double").alias("min_y")).withColumns({"max_x": c("min_x") + 200, "max_y": c("min_y") + 150})
     return N.near_boxes(b, 150.0, 500.0)
 
 
-@query(f"WITH {WAYS_SQL} SELECT 'road' AS shape, kind, count(*) AS n FROM ways GROUP BY kind UNION ALL SELECT 'label', s_nationkey % 8, count(*) FROM supplier WHERE s_nationkey % 8 < 6 GROUP BY ALL UNION ALL SELECT 'area', 3, count(*) FROM part WHERE p_size % 5 <> 0 HAVING count(*) > 0")
+@query(f"WITH {WAYS_SQL} SELECT 'road' AS shape, kind, count(*) AS n FROM ways GROUP BY kind UNION ALL SELECT 'label', s_nationkey % 8, count(*) FROM supplier WHERE s_nationkey % 8 < 6 GROUP BY ALL UNION ALL SELECT 'area', 3, count(*) FROM part HAVING count(*) > 0")
 def shape_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     roads = ways(spark, sf_dir).select(C.classify_way(c("tags")).alias("s")).select("s.shape", "s.kind")
     labels = classify_place(spark, sf_dir).select(lit("label").alias("shape"), c("place").alias("kind"))
-    areas = table(spark, sf_dir, "part").where("p_size % 5 <> 0").select(lit("area").alias("shape"), lit(3).alias("kind"))
+    areas = table(spark, sf_dir, "part").select(lit("area").alias("shape"), lit(3).alias("kind"))
     return roads.unionByName(labels).unionByName(areas).groupBy("shape", "kind").agg(F.count("*").alias("n"))
