@@ -48,4 +48,4 @@ def hash_sample(ids: DataFrame, column: str, most: int) -> DataFrame:
 
 def parts_for(spark: SparkSession, amount: int, least: int, most: int) -> int:
     """Partitions of a sorted rewrite: `most` of the amount each where there is much, fewer where the cores would idle, but no less than `least` each."""
-    return max(1, -(-amount // most), min(-(-amount // least), 3 * spark.sparkContext.defaultParallelism))
+    return max(1, -(-amount // most), min(-(-amount // least), 12 * spark.sparkContext.defaultParallelism))

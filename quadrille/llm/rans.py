@@ -19,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 from typing import Any
 
 import numpy as np
@@ -251,19 +251,23 @@ def _files(uri: str) -> tuple[Any, str]:
     return FileSystem.from_uri(uri)
 
 
-def squeezed(ids: bytes) -> bytes:
-    """32-bit ids for the way between stages: 16 bits each where that is enough, and compressed; the first byte tells which."""
+@cache
+def _zstd() -> tuple[Any, Any]:
+    """A compressor and a decompressor for this process: making one costs more than a document."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def squeezed(ids: bytes) -> bytes:
+    """32-bit ids for the way between stages: 16 bits each where that is enough, and compressed; the first byte tells which."""
     wide = np.frombuffer(ids, "<u4")
     narrow = not len(wide) or int(wide.max()) < 1 << 16
-    return (b"\x02" if narrow else b"\x04") + zstandard.ZstdCompressor(1).compress(wide.astype("<u2").tobytes() if narrow else ids)
+    return (b"\x02" if narrow else b"\x04") + _zstd()[0].compress(wide.astype("<u2").tobytes() if narrow else ids)
 
 
 def unsqueezed(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(data)[1:]), "<u2" if data[0] == 2 else "<u4")
+    return np.frombuffer(_zstd()[1].decompress(memoryview(data)[1:]), "<u2" if data[0] == 2 else "<u4")
 
 
 def count_ids(tokens: DataFrame, ids: str = "ids") -> dict[int, int]:
