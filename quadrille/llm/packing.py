@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import own, staged
+from .tokens import REMEMBERED, token_ids
 
 #: Rows that share a rank window at most, in the mean, even if all have one length.
 RANK_ROWS = 1000
@@ -116,11 +117,9 @@ def sequences(placed: DataFrame, ids: str = "ids") -> DataFrame:
     return placed.where("sequence_id IS NOT NULL").groupBy("sequence_id").agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["h"]), "")).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, *, path: str, capacity: int = 1024, end_id: int = 2, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def pack_documents(docs: DataFrame, *, path: str, capacity: int = 1024, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """Tokenizes, cuts and packs whole documents; ids_crc32 stands for the ids, which the caller can have from pieces()."""
-    from .tokens import token_ids
-
-    cut = pieces(token_ids(docs, text, path=path, end_id=end_id, keys=(doc_id,)), capacity=capacity)
+    cut = pieces(token_ids(docs, text, path=path, end_id=end_id, keys=(doc_id,), remembered=remembered), capacity=capacity)
     slim = staged(cut.select(doc_id, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(slim, capacity=capacity, order=[doc_id, "piece", "ids_crc32"])
 

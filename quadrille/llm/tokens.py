@@ -18,7 +18,7 @@ if TYPE_CHECKING:
 
 END_ID = 2
 #: Chunks of which a worker remembers the ids; about 200 bytes each. The first ones seen stay: frequent ones come early.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 #: Splits only where the byte-level pre-tokenizer splits in any case: before a single blank, around runs of white space,
 #: and between letters or digits and the full stops or commas after them.
 _CHUNKS = re.compile(r" ?[^\W_]++(?=[ \t-\r.,]|\Z)|[.,]++(?=[^\W_]|[ \t-\r]|\Z)| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+").findall
@@ -42,9 +42,9 @@ def packed(ids: list[int]) -> bytes:
 class KnownChunks(dict):
     """Chunk to ids; a chunk that isn't known is encoded when it is asked for, and remembered while there is room."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, tokenizer: Tokenizer, most: int) -> None:
         super().__init__()
-        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        self.tokenizer, self.merge, self.most = tokenizer, tokenizer.model.tokenize, most
         tokenizer.model._resize_cache(0)  # this dict takes its place
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.signs = dict(zip((b for b in range(256) if b not in plain), range(256, 512), strict=False))  # the byte-level alphabet
@@ -60,7 +60,7 @@ class KnownChunks(dict):
             found = packed([t.id for t in self.merge(signs)])
         else:
             found = packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(self) < REMEMBERED:
+        if len(self) < self.most:
             self[chunk] = found
         return found
 
@@ -71,13 +71,13 @@ class ByteLevelEncoder:
     The pre-tokenizer never joins what stands on both sides of a cut, and merges never cross its pieces; so the ids of a
     text are those of its chunks, one after the other."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known = KnownChunks(self.tokenizer)
+        self.known = KnownChunks(self.tokenizer, remembered)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -87,23 +87,24 @@ class ByteLevelEncoder:
         return [self.whole(t) if _ODD(t) else b"".join(map(ids, _CHUNKS(t))) for t in texts]
 
 
-_encoders: dict[str, ByteLevelEncoder] = {}
+_encoders: dict[tuple[str, int], ByteLevelEncoder] = {}
 
 
-def encoder(path: str) -> ByteLevelEncoder:
-    if path not in _encoders:
-        _encoders[path] = ByteLevelEncoder(path)
-    return _encoders[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> ByteLevelEncoder:
+    if (path, remembered) not in _encoders:
+        _encoders.clear()
+        _encoders[path, remembered] = ByteLevelEncoder(path, remembered)
+    return _encoders[path, remembered]
 
 
-def token_ids(df: DataFrame, text: str = "text", *, path: str, end_id: int | None = END_ID, keys: tuple[str, ...] = ("doc_id",), out: str = "ids", form: Callable[[bytes], bytes] = bytes) -> DataFrame:
+def token_ids(df: DataFrame, text: str = "text", *, path: str, end_id: int | None = END_ID, keys: tuple[str, ...] = ("doc_id",), out: str = "ids", form: Callable[[bytes], bytes] = bytes, remembered: int = REMEMBERED) -> DataFrame:
     """keys and, in `out`, the ids of the whole `text` (null: empty), then end_id, in the form told. One row for each row; no shuffle."""
     rows = df.select(*keys, text)
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(out, T.BinaryType(), False)])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, remembered)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
