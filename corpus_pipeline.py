@@ -43,7 +43,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each piece's place in the packed sequences."""
     small_batches(spark)
-    return packing.pack_documents(docs, path=vocabulary())
+    return packing.pack_documents(docs, path=vocabulary(), remembered=300_000)  # other stages use the same workers
 
 
 STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("passages", passage_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
