@@ -2,8 +2,9 @@
 
 A text's sentences are normalised (lower case, runs of other characters than letters and digits as one blank) and mapped to
 the identifiers of known licence sentences; a document's identifiers, in order, are matched against the rules in their order.
-A rule is a sequence of identifiers that must occur in that order. Sentences are taken both with line ends as sentence ends
-and with lines joined; whichever recognises more counts. All is row-local and built-in; there is no shuffle.
+A rule is a sequence of identifiers that must occur in that order. Sentences are taken both with lines joined and with line
+ends as sentence ends, and what either reading recognises counts, in order of the text; where a joined sentence is known, its
+lines are not looked at. All is row-local and built-in; there is no shuffle.
 
 Cases: null and empty texts have no licence; a sentence that occurs again is recognised again; repeated rows are each
 scanned; an empty table gives no rows; other columns are ignored."""
@@ -55,7 +56,8 @@ RULES = [
 COVERED = {"BSD-3-Clause": ("BSD-2-Clause",)}
 #: Each known sentence has one of these words; a text without any has no known sentence.
 TRIGGER = "licen[sc]e|rights reserved|permission|redistribut|public domain|copyright"
-_END = r"([.!?:])[\x20\x09-\x0D]+"
+_STOP, _BLANKS = "[.!?:]", r"[\x20\x09-\x0D]+"
+_END = f"({_STOP}){_BLANKS}"
 
 
 def normal_pieces(sentence: str) -> list[str]:
@@ -70,21 +72,21 @@ if len(KNOWN) != len(SENTENCES) or not all(re.search(TRIGGER, s.lower()) for s i
     raise AssertionError("known sentences must differ and have a trigger")
 
 
-def _identified(text: Column) -> Column:
-    sentences = F.split(F.regexp_replace(text, _END, "$1\n"), "\n")
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    known = F.array(*(F.lit(s) for s in KNOWN))
-    ids = F.array(*(F.lit(k) for k in KNOWN.values()))
-    found = F.filter(F.transform(plain, lambda s: F.array_position(known, s).cast("int")), lambda k: k > 0)
-    return F.transform(found, lambda k: F.element_at(ids, k))
+def _identified(sentence: Column) -> Column:
+    """The identifier of a sentence, or null."""
+    known = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
+    return F.try_element_at(known, F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " ")))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     text = F.coalesce(text, F.lit(""))
-    by_line, joined = _identified(text), _identified(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))
-    longer = F.when(F.size(joined) > F.size(by_line), joined).otherwise(by_line)
-    return F.when(F.lower(text).rlike(TRIGGER), longer).otherwise(F.array().cast("array<int>"))
+    # Line ends only cut joined sentences further, so a joined sentence that isn't known is read line by line in its place.
+    joined = F.split(text, f"(?<={_STOP}){_BLANKS}")
+    by_line = lambda s: F.array_compact(F.transform(F.split(s, "\n"), _identified))
+    whole = F.transform(joined, lambda s: F.struct(s.alias("s"), _identified(s).alias("k")))
+    found = F.flatten(F.transform(whole, lambda w: F.when(w["k"].isNotNull(), F.array(w["k"])).otherwise(by_line(w["s"]))))
+    return F.when(F.lower(text).rlike(TRIGGER), found).otherwise(F.array().cast("array<int>"))
 
 
 def matched(ids: Column) -> Column:

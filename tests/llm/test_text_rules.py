@@ -184,6 +184,23 @@ def test_licences(spark, text, want):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = licenses.SENTENCES[9].replace(" of the GNU", "\nof the GNU").replace(" either", "\neither")
+
+
+@pytest.mark.parametrize(
+    ("text", "ids", "want"),
+    [
+        ("Copyright (C) 2020 Foo. All rights reserved\n\n" + WRAPPED, [17, 9], ["GPL-3.0", "All-rights-reserved"]),
+        (WRAPPED + "\n\nLicensed under CC BY 4.0\nAll rights reserved\n", [9, 12, 17], ["GPL-3.0", "CC-BY-4.0", "All-rights-reserved"]),
+        (licenses.SENTENCES[18] + "\n" + licenses.SENTENCES[19].replace(" this list", "\nthis list") + "\n\nx\n" + licenses.SENTENCES[20][:-1] + "\nand so on", [18, 19, 20], ["BSD-2-Clause"]),
+        (licenses.SENTENCES[6].replace(" (the", "\n(the") + "\n" + licenses.SENTENCES[7], [6, 7], ["Apache-2.0"]),
+    ],
+)
+def test_licences_seen_by_one_reading_each(spark, text, ids, want):
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id BIGINT, text STRING")).first()
+    assert (got.sentence_ids, got.licenses) == (ids, want)
+
+
 def test_every_known_sentence_is_recognised(spark):
     df = spark.createDataFrame(list(licenses.SENTENCES.items()), "doc_id BIGINT, text STRING")
     assert all(r.doc_id in r.sentence_ids and len(r.licenses) == 1 for r in licenses.scan(df).collect() if r.doc_id not in (4, 7, 18, 19, 20, 21))
