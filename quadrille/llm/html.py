@@ -3,9 +3,8 @@
 A page is read once, tag by tag, without a tree library. Menus, forms, scripts, notices and so on go by their tag, role or
 class. Every element subtree that still gives text to the result, and that may be a template (a container, or any block of a
 page without <article> or <main>), is hashed by its tags and text; Spark counts on how many different pages of a host each
-hash occurs, and subtrees on MANY pages or more, and on a share of the host's pages, are deleted. Paragraphs and headings
-inside an article are its text even if pages share them. Blocks carry their subtrees as ranges, so deleting needs no second
-reading and only pages that have such subtrees are joined.
+hash occurs, and subtrees on MANY pages or more, however large the host, are deleted. Paragraphs and headings an article are its text even if pages share them. Blocks carry their subtrees as ranges, so deleting needs no second reading
+and only pages that have such subtrees are joined.
 
 Cases: null is the empty page; text without any tag is one block; unclosed and stray tags are tolerated; equal pages count
 as one page for templates, so copies never delete each other; an empty table gives no rows; other columns are ignored."""
@@ -23,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: A subtree is a template if it stands on so many different pages of its host, and on this share of them.
-MANY, SHARE = 10, 0.2
+#: A subtree is a template if it stands on so many different pages of its host.
+MANY = 10
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -172,15 +171,14 @@ def parsed(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: s
     return rows.mapInArrow(run, "page_id BIGINT, url STRING, host STRING, content BIGINT, blocks ARRAY<STRING>, subtrees ARRAY<STRUCT<hash: BIGINT, first: INT, end: INT>>")
 
 
-def extract(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", many: int = MANY, share: float = SHARE) -> DataFrame:
+def extract(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     read = staged(parsed(df, page_id=page_id, url=url, page=page), "pages")
     kept = read.where(F.size("subtrees") == 0).select("page_id", "url", "blocks")
     with_trees = read.where(F.size("subtrees") > 0)
-    pages = read.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     trees = with_trees.select("host", "content", F.explode("subtrees").alias("t")).select("host", "content", "t.*")
     counts = trees.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    templates = counts.join(pages, "host").where((F.col("n") >= many) & (F.col("n") >= share * F.col("pages"))).select("host", "hash")
+    templates = counts.where(F.col("n") >= many).select("host", "hash")
     cut = trees.join(templates, ["host", "hash"]).groupBy("host", "content").agg(F.collect_set(F.struct("first", "end")).alias("cut"))  # of one page: bounded by its length
     joined = with_trees.join(cut, ["host", "content"], "left")
     gone = lambda k: F.exists(F.coalesce("cut", F.array().cast("array<struct<first:int,end:int>>")), lambda c: (k >= c["first"]) & (k < c["end"]))

@@ -234,6 +234,14 @@ def test_template_subtrees_go_but_articles_stay(spark):
     assert got[203] == "shared by all\ntext 3"
 
 
+def test_templates_of_a_section_of_a_large_host(spark):
+    extra = lambda k: "<div><p>Only in this section</p></div>" if k < 12 else "<div><p>On nine pages</p></div>" if k < 21 else ""
+    rows = [(k, f"http://a.example/{k}", f"<body>{extra(k)}<div><p>text {k}</p></div></body>") for k in range(100)]
+    rows += [(100 + k, f"http://b.example/{k}", f"<main>{extra(k)}<p>text {k}</p></main>") for k in range(100)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect()}
+    assert [got[k] for k in (3, 15, 50, 103, 115)] == ["text 3", "On nine pages\ntext 15", "text 50", "text 3", "On nine pages\ntext 15"]
+
+
 def test_html_of_a_long_page():
     blocks, _ = html.read_page("<article>" + "<p>word &amp; " * 20_000)
     assert len(blocks) == 20_000 and set(blocks) == {stdlib_html.unescape("word &amp;")}
