@@ -1,9 +1,11 @@
 """Operator 10, main text of HTML pages with removal of site templates.
 
-A page is read once, tag by tag, without a tree library. Menus, forms, scripts, notices and so on go by their tag, role or
-class. Every element subtree that still gives text to the result, and that may be a template (a container, or any block of a
+A page is read once, tag by tag, without a tree library. Menus, forms, scripts, notices and so on go by their tag, role,
+class or id; a class or id counts if all its words tell of such parts or of their place, and not on headings in an article,
+whose header keeps its headings. Every element subtree that still gives text to the result, and that may be a template (a container, or any block of a
 page without <article> or <main>), is hashed by its tags and text; Spark counts on how many different pages of a host each
-hash occurs, and subtrees on MANY pages or more, however large the host, are deleted. Paragraphs and headings an article are its text even if pages share them. Blocks carry their subtrees as ranges, so deleting needs no second reading
+hash occurs, and subtrees on MANY pages or more, however large the host, are deleted. Paragraphs and headings inside an
+article are its text even if pages share them. Blocks carry their subtrees as ranges, so deleting needs no second reading
 and only pages that have such subtrees are joined.
 
 Cases: null is the empty page; text without any tag is one block; unclosed and stray tags are tolerated; equal pages count
@@ -29,31 +31,50 @@ _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\
 _WORDS = re.compile(r"[a-z]+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
 DROPPED = frozenset("nav footer aside form head menu button select dialog svg math object canvas audio video template fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 CLASS_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+COMMENTS, HEADERS = frozenset("comment comments disqus reply replies".split()), frozenset({"header"})
+#: Words that with one of CLASS_WORDS still name the same part of a site: next to "header" only the first, since other headers have titles.
+AROUND = frozenset("site main top global mobile desktop sticky fixed wrapper wrap container inner outer".split())
+BESIDE = AROUND | frozenset("page post user reader bottom left right upper lower primary secondary local google fb box bar block area panel row col column list lists item items link links button buttons btn icon icons posts articles stories news products content body text form slot unit zone thread section tools logo copyright".split())
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 #: Elements that a new one of the same kind closes.
 _CLOSES = {t: frozenset({t}) for t in ("p", "li", "tr", "option")} | {"dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
 
 
-def _unwanted(tag: str, attributes: str) -> int:
-    """0: wanted; 1: unwanted by its class or role; 2: by its tag, or reader comments, in which even an article is unwanted."""
+def _telling(names: str) -> set[str]:
+    """CLASS_WORDS in those classes or ids that have no word but these and BESIDE."""
+    found = set()
+    for name in names.split():
+        words = set(_WORDS.findall(name))
+        if (hits := words & CLASS_WORDS) and words - hits <= (AROUND if hits == HEADERS else BESIDE):
+            found |= hits
+    return found
+
+
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """0: wanted; 1: unwanted by its class or role; 2: by its tag, or reader comments, in which even an article is unwanted; -1: but for headings."""
     if tag in DROPPED:
         return 2
     if not attributes or tag in ("html", "body", "main"):
         return 0
+    heading = tag in HEADINGS
+    found = set()
     for name, *values in _MARKS.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return 2
         if name == "role" and value in ROLES:
             return 1
-        if name in ("class", "id") and (found := CLASS_WORDS.intersection(_WORDS.findall(value))):
-            return 2 if found & {"comment", "comments", "disqus", "reply", "replies"} else 0 if tag == "article" else 1
-    return 0
+        if name == "class" and not (heading and in_article) or name == "id" and not heading:
+            found |= _telling(value)
+    if found & COMMENTS:
+        return 2
+    return 0 if not found or tag == "article" else -1 if found == HEADERS and in_article else 1
 
 
 def read_page(source: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
@@ -114,14 +135,14 @@ def read_page(source: str | None) -> tuple[list[str], list[tuple[int, int, int]]
         if tag in VOID:
             continue
         stack.append((tag, unwanted, mains, len(every), titles))
-        kind = _unwanted(tag, m[3])
+        kind = _unwanted(tag, m[3], mains > 0)
         if tag in ("article", "main") and kind == 0:
             if unwanted < 2:
-                unwanted = 0
+                unwanted = titles = 0
                 mains += 1
-        elif kind:
+        elif kind > 0:
             unwanted = max(unwanted, kind)
-        elif tag == "header":
+        elif kind or tag == "header":
             if mains:
                 titles = 1
             else:

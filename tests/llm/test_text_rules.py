@@ -242,6 +242,22 @@ def test_templates_of_a_section_of_a_large_host(spark):
     assert [got[k] for k in (3, 15, 50, 103, 115)] == ["text 3", "On nine pages\ntext 15", "text 50", "text 3", "On nine pages\ntext 15"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><h2 id="related-work">a</h2><p>b</p><h2 id="comments-on-the-draft">c</h2><h3 id=comments class="widget">d</h3></article>', ["a", "b", "c", "d"]),
+        ('<article><section id="social-policy"><p>a</p></section><div class="article-header x"><h1>b</h1><p>c</p></div></article>', ["a", "b", "c"]),
+        ('<article><div class="header"><h1>a</h1><p>no</p></div><p>b</p></article><div class="site-header"><h1>no</h1></div>', ["a", "b"]),
+        ('<main><div class="header"><p>no</p><article><p>a</p></article></div><p>b</p></main>', ["a", "b"]),
+        ('<h1 id="notice">a</h1><div class="header"><h1>no</h1></div><div class="layout no-sidebar"><p>b</p></div>', ["a", "b"]),
+        ('<main><p>a</p><div class="box cookie-notice">no</div><div id=disqus_thread>no</div><div class="related-posts"><h3>no</h3></div><ul class="share-buttons"><li>no</ul><div class="sidebar-2">no</div><div class=post-comments><article>no</article></div></main>', ["a"]),
+        ('<main><p>a</p><div class="share" id="comments"><article>no</article></div><div class="ad" hidden><article>no</article></div></main>', ["a"]),
+    ],
+)
+def test_html_class_words(page, want):
+    assert html.read_page(page)[0] == want
+
+
 def test_html_of_a_long_page():
     blocks, _ = html.read_page("<article>" + "<p>word &amp; " * 20_000)
     assert len(blocks) == 20_000 and set(blocks) == {stdlib_html.unescape("word &amp;")}
