@@ -1,10 +1,10 @@
 """Operator 5 [native], quality rules: hashed n-gram log-likelihood ratio of trusted text against the raw corpus.
 
-Unigrams and bigrams are hashed to BUCKETS buckets. The raw multinomial counts all texts; the trusted one counts at most
-`most` documents labelled good, chosen by a hash of their ids (a documented bound), and is smoothed towards the raw one. A
-document's ratio is the sum of its n-grams' log ratios over their number; documents below a fixed threshold, and those that
-fail the base rules, are not kept. All is built-in functions; the only shuffle is of bucket counts, at most BUCKETS rows a
-task, and the table of ratios goes out as one array of BUCKETS numbers.
+Unigrams and bigrams are hashed to BUCKETS buckets. The raw multinomial counts all texts; the trusted one counts all
+documents labelled good, and is smoothed towards the raw one. A document's ratio is the sum of its n-grams' log ratios over
+their number; documents below a fixed threshold, and those that fail the base rules, are not kept. All is built-in functions;
+shuffles are of the labelled ids and of bucket counts, at most BUCKETS rows a task, and the table of ratios goes out as one
+array of BUCKETS numbers. Where the labelled ids are too many for Spark to broadcast, texts move once to meet them.
 
 Cases: null and empty texts have no words, fail the base rules and have ratio 0; repeated rows are each judged; without
 trusted labels the ratio is 0 for all and the base rules decide; an empty table gives no rows; other columns are ignored."""
@@ -14,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, staged, words_of
+from .common import staged, words_of
 
 BUCKETS = 1 << 14
-#: Trusted documents counted at most; weight of the raw multinomial in the trusted one, in n-grams a bucket.
-TRUSTED, PRIOR = 20_000, 8.0
+#: Weight of the raw multinomial in the trusted one, in n-grams a bucket.
+PRIOR = 8.0
 #: Mean log ratio of an n-gram that a kept document has at least.
 KEEP_FROM = -0.055
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -87,11 +87,11 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
     }
 
 
-def ratios(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRUSTED) -> DataFrame:
+def ratios(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """bucket, ratio: log of trusted over raw probability, for each bucket that occurs."""
     good = labels.where((F.col(label) == 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__id")).distinct()
-    good = hash_sample(good, "__id", most)  # 8 bytes a row: a proven bound for the broadcast
-    rows = df.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(F.broadcast(good.withColumn("__good", F.lit(1))), F.col("__doc") == F.col("__id"), "left")
+    good = staged(good, "good").withColumn("__good", F.lit(1))  # by its size on disk Spark broadcasts it or not
+    rows = df.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).join(good, F.col("__doc") == F.col("__id"), "left")
     hashes = rows.select("__good", word_hashes(words_of(F.col("__text"))).alias("h"))
     each = hashes.select("__good", F.explode(F.concat("h", pair_hashes(F.col("h")))).alias("gram")).select("__good", bucket(F.col("gram")).alias("bucket"))
     counts = staged(each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("trusted")), "grams")
@@ -102,9 +102,9 @@ def ratios(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: st
     return counts.select("bucket", (F.lit(0.0) if not trusted else F.log(p_trusted / p_raw)).alias("ratio"))
 
 
-def judge(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = TRUSTED, keep_from: float = KEEP_FROM) -> DataFrame:
+def judge(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", keep_from: float = KEEP_FROM) -> DataFrame:
     """doc_id, the base columns, base_failed, ratio, kept of every row."""
-    table = staged(ratios(df, labels, doc_id=doc_id, text=text, label=label, most=most), "ratios")
+    table = staged(ratios(df, labels, doc_id=doc_id, text=text, label=label), "ratios")
     slots = df.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(table, "bucket", "left")
     array = slots.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("ratio", F.lit(0.0)).alias("r")))), lambda s: s["r"]).alias("r")).scalar()  # BUCKETS numbers
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).withColumn("__w", words_of(F.col("__text")))

@@ -79,6 +79,11 @@ def test_rules_against_brute_force(docs, labels, rows):
     assert len(got) == len(want)
 
 
+def test_rules_count_all_trusted_documents(spark):
+    docs = spark.range(20_500).selectExpr("id AS doc_id", "concat('word', id % 5000) AS text")
+    assert all(abs(r.ratio) < 1e-9 for r in rules.ratios(docs, docs.selectExpr("doc_id", "1 AS quality")).collect())
+
+
 def test_rules_without_labels_or_rows(docs, labels):
     assert {r.ratio for r in rules.judge(docs, labels.limit(0)).collect()} == {0.0}
     assert rules.judge(docs.limit(0), labels).count() == 0
