@@ -1,21 +1,30 @@
-"""Operator 10, main text of HTML pages with removal of site templates.
+"""Operator 10, main text of HTML pages by removal of site templates.
 
-A page is read once, tag by tag, without a tree library. Menus, forms, scripts, notices and so on go by their tag, role,
-class or id; a class or id counts if all its words tell of such parts or of their place, and not on headings in an article,
-whose header keeps its headings. Every element subtree that still gives text to the result, and that may be a template (a container, or any block of a
-page without <article> or <main>), is hashed by its tags and text; Spark counts on how many different pages of a host each
-hash occurs, and subtrees on MANY pages or more, however large the host, are deleted. Paragraphs and headings inside an
-article are its text even if pages share them. Blocks carry their subtrees as ranges, so deleting needs no second reading
-and only pages that have such subtrees are joined.
+A page is read once, tag by tag, in time linear in its length. Every element subtree of the whole page, menus and footers
+included, is hashed from its tags, its texts and the hashes below it (only paragraphs, list items and so on inside an article
+are left out: they are its text even if pages share them). Spark counts on how many different pages of a host each hash
+stands; subtrees on MANY pages or more are deleted, however large the host. Classes and ids that speak of menus, adverts,
+comments and so on are counted as well, as slots (tag, classes, id): what stands in a slot often differs from page to page,
+so on a host of ENOUGH different pages or more a slot of that kind goes if MANY pages of the host, or of all hosts, have it, and
+stays otherwise. Only where a host has fewer pages, so that counts settle nothing, such classes are believed as they are, and
+if there is an <article> or <main>, only its text is taken. Elements that by their tag, role or `hidden` are no text of an
+article (navigation, footers, forms, scripts) go everywhere.
 
-Cases: null is the empty page; text without any tag is one block; unclosed and stray tags are tolerated; equal pages count
-as one page for templates, so copies never delete each other; an empty table gives no rows; other columns are ignored."""
+Two pages of a host are different if their articles are (without one: their texts outside such slots), so that copies of a page never delete each
+other. Subtrees and blocks carry ranges, so that deleting needs no second reading of the page.
+
+Cases: null is the empty page; text without any tag is one block; unclosed and stray tags are tolerated, a quote that is never
+closed is an ordinary character; null URLs share one host; equal rows give equal rows; an empty table gives no rows; other
+columns are ignored."""
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -24,9 +33,12 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: A subtree is a template if it stands on so many different pages of its host.
+#: A subtree is a template, and a slot part of the site, if it stands on so many different pages of its host.
 MANY = 10
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Different pages of a host from which on the counts settle what classes and ids are about.
+ENOUGH = 10
+_OPEN = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)|(!--)|[!?])")
+_IN_TAG = re.compile(r">|=\s*+([\"'])")
 _MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -44,6 +56,8 @@ BESIDE = AROUND | frozenset("page post user reader bottom left right upper lower
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 #: Elements that a new one of the same kind closes.
 _CLOSES = {t: frozenset({t}) for t in ("p", "li", "tr", "option")} | {"dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"})}
+#: Elements beyond which nothing is closed by implication.
+FENCES = frozenset("ul ol dl table article section div main body".split())
 
 
 def _telling(names: str) -> set[str]:
@@ -56,153 +70,290 @@ def _telling(names: str) -> set[str]:
     return found
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
-    """0: wanted; 1: unwanted by its class or role; 2: by its tag, or reader comments, in which even an article is unwanted; -1: but for headings."""
+class Hint(NamedTuple):
+    """How an element's start tag tells that it is no main text."""
+
+    level: int = 0  # 1: but an article in it is; 2: nor is an article in it; 3: but its headings are, if it is in an article
+    told_by_name: bool = False  # by its class or id only
+
+
+_NONE, _TAGGED, _HEADER = Hint(), Hint(2), Hint(3)
+
+
+def _hint(tag: str, attributes: str, in_article: bool) -> Hint:
     if tag in DROPPED:
-        return 2
+        return _TAGGED
+    if tag == "header":
+        return _HEADER if in_article else Hint(1)
     if not attributes or tag in ("html", "body", "main"):
-        return 0
+        return _NONE
     heading = tag in HEADINGS
     found = set()
+    role = False
     for name, *values in _MARKS.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return 2
-        if name == "role" and value in ROLES:
-            return 1
+            return _TAGGED
+        role = role or name == "role" and value in ROLES
         if name == "class" and not (heading and in_article) or name == "id" and not heading:
             found |= _telling(value)
+    if role:
+        return Hint(1)
     if found & COMMENTS:
-        return 2
-    return 0 if not found or tag == "article" else -1 if found == HEADERS and in_article else 1
+        return Hint(2, True)
+    return _NONE if not found or tag == "article" else Hint(3, True) if found == HEADERS and in_article else Hint(1, True)
 
 
-def read_page(source: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
-    """The blocks of the main text, and (hash, first block, end block) of the subtrees that might be templates."""
-    every: list[tuple[str, bool]] = []  # block, in an article
-    spans: list[tuple[int, int, int, bool]] = []
-    inline: list[str] = []
-    stack: list[tuple[str, int, int, int, int]] = []  # tag, unwanted before, mains before, first block, header in an article before
-    unwanted = mains = titles = 0
-    page = source or ""
-
-    def flush() -> None:
-        if inline:
-            text = " ".join(html.unescape("".join(inline)).split())
-            inline.clear()
+def _slot(tag: str, attributes: str) -> int:
+    """A number for the tag with its classes and id, digits apart."""
+    named = sorted(re.sub(r"[0-9]+", "0", f"{name.lower()}={word}") for name, *values in _MARKS.findall(attributes) if name.lower() in ("class", "id") for word in "".join(values).split())
+    return xxhash.xxh3_64_intdigest(" ".join([tag, *named]).encode("utf-8", "surrogatepass"), seed=1) - 2**63
+
+
+class Block(NamedTuple):
+    text: str
+    main: bool  # in an <article> or <main>
+    gone: bool  # no main text, by tag, role or `hidden`
+    slot: int | None  # no main text by the class or id of this slot
+
+
+class _State(NamedTuple):
+    """What holds inside the open elements."""
+
+    level: int = 0
+    slot: int | None = None  # of `level`; None: by tag
+    mains: int = 0
+    titles: bool = False  # in a header of an article, of which only headings count
+    titles_slot: int | None = None
+    heading: bool = False
+    mute: bool = False  # in an unwanted inline element
+
+
+class _Page:
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.blocks: list[Block] = []
+        self.subtrees: list[tuple[int, int, int]] = []  # hash, first block, end block
+        self.state = _State()
+        self.stack: list[tuple[str, _State, int, xxhash.xxh3_64]] = []  # tag, state before, first block, hash so far
+        self.open = Counter()
+        self.inline: list[str] = []
+        self.root = xxhash.xxh3_64()
+        self._read()
+
+    def _hash(self) -> xxhash.xxh3_64:
+        return self.stack[-1][3] if self.stack else self.root
+
+    def _flush(self) -> None:
+        if self.inline:
+            text = " ".join(html.unescape("".join(self.inline)).split())
+            self.inline.clear()
             if text:
-                every.append((text, mains > 0))
-
-    def close() -> None:
-        nonlocal unwanted, mains, titles
-        tag, unwanted_, mains_, first, titles_ = stack.pop()
-        if tag in BLOCKS:
-            flush()
-            if first < len(every) and tag not in ("html", "body", "main", "article") and not (mains and tag in TEXT_BLOCKS):
-                spans.append((xxhash.xxh3_64_intdigest("\n".join([tag, *(t for t, _ in every[first:])]).encode("utf-8", "surrogatepass")) - 2**63, first, len(every), mains > 0))
-        unwanted, mains, titles = unwanted_, mains_, titles_
-
-    at = 0
-    while at < len(page):
-        m = _TAG.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not unwanted and (not titles or stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6") or any(s[0][0] == "h" and s[0][1:].isdigit() for s in stack[-4:])):
-            inline.append(page[at:end])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            continue
-        if m[1]:
-            if any(s[0] == tag for s in stack):
-                while stack[-1][0] != tag:
-                    close()
-                close()
-            elif tag in BLOCKS:
-                flush()
-            continue
-        if tag in RAW:
-            over = _RAW_END[tag].search(page, at)
-            at = over.end() if over else len(page)
-            continue
-        if tag in BLOCKS:
-            if stack and stack[-1][0] == "p" or tag in _CLOSES and any(s[0] in _CLOSES[tag] for s in stack):
-                _close_implied(stack, tag, close)
-            flush()
+                s = self.state
+                header = s.titles and not s.heading
+                named = [x for on, x in ((s.level > 0, s.slot), (header, s.titles_slot)) if on]
+                self._hash().update(b"\n" + text.encode("utf-8", "surrogatepass"))
+                self.blocks.append(Block(text, s.mains > 0, None in named, named[0] if named and None not in named else None))
+
+    def _push(self, tag: str, state: _State) -> None:
+        self.stack.append((tag, self.state, len(self.blocks), xxhash.xxh3_64(tag.encode())))
+        self.open[tag] += 1
+        self.state = state
+
+    def _pop(self) -> None:
+        if self.stack[-1][0] in BLOCKS:
+            self._flush()
+        tag, before, first, digest = self.stack.pop()
+        self.open[tag] -= 1
+        own = digest.intdigest()
+        self._hash().update(own.to_bytes(8, "little"))
+        if tag in BLOCKS and first < len(self.blocks) and tag not in ("html", "body", "main", "article") and not (before.mains and tag in TEXT_BLOCKS):
+            self.subtrees.append((own - 2**63, first, len(self.blocks)))
+        self.state = before
+
+    def _start(self, tag: str, attributes: str) -> None:
+        block = tag in BLOCKS
+        if block:
+            self._close_implied(tag)
+            self._flush()
         if tag == "br":
-            inline.append(" ") if not unwanted else None
+            self.inline.append(" ")
         if tag in VOID:
-            continue
-        stack.append((tag, unwanted, mains, len(every), titles))
-        kind = _unwanted(tag, m[3], mains > 0)
-        if tag in ("article", "main") and kind == 0:
-            if unwanted < 2:
-                unwanted = titles = 0
-                mains += 1
-        elif kind > 0:
-            unwanted = max(unwanted, kind)
-        elif kind or tag == "header":
-            if mains:
-                titles = 1
-            else:
-                unwanted = max(unwanted, 1)
-    while stack:
-        close()
-    flush()
-    if any(in_main for _, in_main in every):
-        number, new = {}, 0
-        for k, (_, in_main) in enumerate(every):
-            number[k] = new
-            new += in_main
-        number[len(every)] = new
-        blocks = [t for t, in_main in every if in_main]
-        return blocks, [(h, number[a], number[b]) for h, a, b, inside in spans if inside and number[a] < number[b]]
-    return [t for t, _ in every], [(h, a, b) for h, a, b, _ in spans]
-
-
-def _close_implied(stack: list, tag: str, close) -> None:  # noqa: ANN001
-    """Closes what a new block implies: an open paragraph, or the item that a new item follows, but nothing beyond their container."""
-    fence = {"ul", "ol", "dl", "table", "article", "section", "div", "main", "body"} - ({"table"} if tag == "tr" else set())
-    wanted = _CLOSES.get(tag, frozenset()) | {"p"}
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] in fence:
-            return
-        if stack[k][0] in wanted:
-            while len(stack) > k:
-                close()
+            self._hash().update(tag.encode())
             return
+        s = self.state
+        hint = _hint(tag, attributes, s.mains > 0)
+        if block:
+            s = s._replace(mute=False, heading=s.heading or tag in HEADINGS)
+        elif hint.level:
+            s = s._replace(mute=True)
+        if tag in ("article", "main") and not hint.level:
+            s = s._replace(mains=s.mains + 1, titles=False, titles_slot=None, heading=False)
+            if s.level < 2:
+                s = s._replace(level=0, slot=None)
+        elif hint.level == 3:
+            s = s._replace(titles=True, titles_slot=_slot(tag, attributes) if hint.told_by_name else None, heading=False)
+        elif hint.level and (not s.level or s.slot is not None and not hint.told_by_name or hint.level > s.level):
+            s = s._replace(level=max(s.level, hint.level), slot=_slot(tag, attributes) if hint.told_by_name and block and (not s.level or s.slot is not None) else None)
+        if block or hint.level or self.open[tag]:  # other inline elements bound nothing
+            self._push(tag, s)
+        else:
+            self._hash().update(tag.encode())
+
+    def _end(self, tag: str) -> None:
+        if self.open[tag]:
+            while self.stack[-1][0] != tag:
+                self._pop()
+            self._pop()
+        elif tag in BLOCKS:
+            self._flush()
+
+    def _close_implied(self, tag: str) -> None:
+        """Closes what a new block implies: an open paragraph, or the item that a new item follows, but nothing beyond their container."""
+        wanted = _CLOSES.get(tag, frozenset()) | {"p"}
+        if any(self.open[t] for t in wanted):
+            for k in range(len(self.stack) - 1, -1, -1):
+                name = self.stack[k][0]
+                if name in wanted:
+                    while len(self.stack) > k:
+                        self._pop()
+                    return
+                if name in FENCES and not (name == "table" and tag == "tr"):
+                    return
+
+    def _text(self, a: int, b: int) -> None:
+        """Text of an unwanted inline element goes for good, but still counts in the hash."""
+        if a < b:
+            if self.state.mute:
+                self._hash().update(self.source[a:b].encode("utf-8", "surrogatepass"))
+            else:
+                self.inline.append(self.source[a:b])
+
+    def _tag_end(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`. Once quotes lead beyond the end of the page, they count no more, so that a page is scanned twice at most."""
+        k = at
+        while self.quoted:
+            m = _IN_TAG.search(self.source, k)
+            if m and not m[1]:
+                return m.end()
+            k = self.source.find(m[1], m.end()) + 1 if m else 0
+            self.quoted = k > 0
+        return self.source.find(">", at) + 1 or len(self.source)
+
+    def _read(self) -> None:
+        page, at, last = self.source, 0, self.source.rfind(">")
+        self.quoted = True
+        while at < len(page):
+            m = _OPEN.search(page, at)
+            if not m or m.start() > last:  # what no ">" follows is no tag
+                self._text(at, len(page) if not m or not m[3] else m.start())
+                break
+            self._text(at, m.start())
+            if m[3]:
+                at = page.find("-->", m.start() + 2) + 3
+                at = at if at > 2 else len(page)
+                continue
+            if not m[2]:
+                at = page.find(">", m.end()) + 1
+                continue
+            at, tag = self._tag_end(m.end()), m[2].lower()
+            if m[1]:
+                self._end(tag)
+            elif tag in RAW:
+                over = _RAW_END[tag].search(page, at)
+                at = over.end() if over else len(page)
+            else:
+                self._start(tag, page[m.end() : at])
+        while self.stack:
+            self._pop()
+        self._flush()
+
+
+def parse_page(source: str | None) -> tuple[list[Block], list[tuple[int, int, int]]]:
+    """All blocks of text of a page, and (hash, first block, end block) of its subtrees."""
+    page = _Page(source or "")
+    return page.blocks, page.subtrees
+
+
+def main_text(blocks: list[Block], marks: list[dict]) -> list[str]:
+    """The blocks that stay. marks: ranges (first, end) of templates (t) and of slots that are part of the site (s); h if the host's counts settle what is."""
+    settled = any(m["kind"] == "h" for m in marks)
+    edges = [0] * (len(blocks) + 1)  # templates that start less those that end
+    for m in marks:
+        if m["kind"] != "h":
+            edges[m["first"]] += 1
+            edges[m["end"]] -= 1
+    kept = [b for b, cut in zip(blocks, accumulate(edges), strict=False) if not cut and not b.gone and (settled or b.slot is None)]
+    only_main = not settled and any(b.main for b in kept)
+    return [b.text for b in kept if b.main or not only_main]
+
+
+def read_page(source: str | None) -> tuple[list[str], list[tuple[int, int, int]]]:
+    """The main text of a page by itself, without counts, in blocks; and its subtrees."""
+    blocks, subtrees = parse_page(source)
+    return main_text(blocks, []), subtrees
+
+
+PARSED = "page_id BIGINT, url STRING, host STRING, page BINARY, content BIGINT, texts ARRAY<STRING>, main ARRAY<BOOLEAN>, gone ARRAY<BOOLEAN>, slots ARRAY<BIGINT>, subtrees ARRAY<STRUCT<hash: BIGINT, first: INT, end: INT>>"
 
 
 def parsed(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """page_id, url, host, content (a digest), blocks, subtrees (hash, first, end) of each row."""
+    """Of each row its id, url and host; a digest of the whole page and one of its main text; texts of blocks with what is known of each; and the subtrees."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())]))
+        tree = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                read = [read_page(p) for p in part.column(2).to_pylist()]
-                content = [xxhash.xxh3_64_intdigest("\n".join(b).encode("utf-8", "surrogatepass")) - 2**63 for b, _ in read]
-                trees = [[{"hash": h, "first": a, "end": b} for h, a, b in s] for _, s in read]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), pa.array(content, pa.int64()), pa.array([b for b, _ in read], pa.list_(pa.string())), pa.array(trees, kind)], ["page_id", "url", "host", "content", "blocks", "subtrees"])
+                sources = [s or "" for s in part.column(2).to_pylist()]
+                read = [parse_page(s) for s in sources]
+                content = ["\n".join(main_text(blocks, [])) for blocks, _ in read]
+                column = lambda k, kind: pa.array([[b[k] for b in blocks] for blocks, _ in read], pa.list_(kind))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(part.column(k) for k in (0, 1, 3)),
+                        pa.array([xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in sources], pa.binary()),
+                        pa.array([xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) - 2**63 for c in content], pa.int64()),
+                        *(column(k, kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.bool_(), pa.int64()))),
+                        pa.array([[{"hash": h, "first": a, "end": b} for h, a, b in trees] for _, trees in read], pa.list_(tree)),
+                    ],
+                    ["page_id", "url", "host", "page", "content", "texts", "main", "gone", "slots", "subtrees"],
+                )
 
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), page, host.alias("host"))
-    return rows.mapInArrow(run, "page_id BIGINT, url STRING, host STRING, content BIGINT, blocks ARRAY<STRING>, subtrees ARRAY<STRUCT<hash: BIGINT, first: INT, end: INT>>")
+    return rows.mapInArrow(run, PARSED)
 
 
-def extract(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", many: int = MANY) -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
+def site_counts(read: DataFrame, many: int = MANY, enough: int = ENOUGH) -> DataFrame:
+    """host, kind, key: subtrees (t) and slots (s) that are part of the site, and hosts (h, key 0) of enough different pages. Rows of a hot host meet in partial aggregates only."""
+    none = F.array().cast("array<struct<kind:string,key:bigint>>")
+    key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.cast("bigint").alias("key"))
+    every = F.concat(F.array(key("h", F.lit(0))), F.transform("subtrees", lambda t: key("t", t["hash"])), F.transform(F.filter("slots", lambda s: s.isNotNull()), lambda s: key("s", s)), none)
+    seen = read.select("host", "content", F.explode(F.array_distinct(every)).alias("k")).select("host", "content", "k.*").distinct()
+    counts = staged(seen.groupBy("host", "kind", "key").agg(F.count("*").alias("n")).where((F.col("kind") == "s") | (F.col("n") >= F.when(F.col("kind") == "h", enough).otherwise(many))), "counts")
+    anywhere = counts.where("kind = 's'").groupBy("kind", "key").agg(F.sum("n").alias("all")).where(F.col("all") >= many)
+    slots = counts.where("kind = 's'").join(anywhere, ["kind", "key"], "left_semi")
+    return staged(counts.where("kind <> 's'").unionByName(slots).select("host", "kind", "key"), "site")
+
+
+def extract(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", many: int = MANY, enough: int = ENOUGH) -> DataFrame:
+    """page_id, url, text, n_chars of every row. The joins read staged tables on both sides, so that adaptive execution can split a hot host or page."""
     read = staged(parsed(df, page_id=page_id, url=url, page=page), "pages")
-    kept = read.where(F.size("subtrees") == 0).select("page_id", "url", "blocks")
-    with_trees = read.where(F.size("subtrees") > 0)
-    trees = with_trees.select("host", "content", F.explode("subtrees").alias("t")).select("host", "content", "t.*")
-    counts = trees.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    templates = counts.where(F.col("n") >= many).select("host", "hash")
-    cut = trees.join(templates, ["host", "hash"]).groupBy("host", "content").agg(F.collect_set(F.struct("first", "end")).alias("cut"))  # of one page: bounded by its length
-    joined = with_trees.join(cut, ["host", "content"], "left")
-    gone = lambda k: F.exists(F.coalesce("cut", F.array().cast("array<struct<first:int,end:int>>")), lambda c: (k >= c["first"]) & (k < c["end"]))
-    cleaned = joined.select("page_id", "url", F.filter("blocks", lambda b, k: ~gone(k)).alias("blocks"))
-    text = F.array_join("blocks", "\n")
-    return kept.unionByName(cleaned).select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+    site = site_counts(read, many, enough)
+    mark = lambda kind, k, a, b: F.struct(F.lit(kind).alias("kind"), k.cast("bigint").alias("key"), a.cast("int").alias("first"), b.cast("int").alias("end"))
+    of_slots = F.filter(F.transform("slots", lambda s, k: mark("s", s, k, k + 1)), lambda m: m["key"].isNotNull())
+    marks = F.concat(F.array(mark("h", F.lit(0), F.lit(0), F.lit(0))), F.transform("subtrees", lambda t: mark("t", t["hash"], t["first"], t["end"])), of_slots)
+    found = read.select("host", "page", F.explode(marks).alias("m")).select("host", "page", "m.*").join(site, ["host", "kind", "key"])
+    cuts = staged(found.groupBy("host", "page").agg(F.collect_set(F.struct("kind", "first", "end")).alias("cuts")), "cuts")  # of one page: bounded by its length
+    kinds = "array<struct<kind:string,first:int,end:int>>"
+    joined = read.join(cuts, ["host", "page"], "left")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = ["\n".join(main_text([Block(*b) for b in zip(*blocks, strict=True)], marks or [])) for *blocks, marks in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return joined.select("page_id", "url", "texts", "main", "gone", "slots", "cuts").mapInArrow(run, "page_id BIGINT, url STRING, text STRING, n_chars BIGINT")

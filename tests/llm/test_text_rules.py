@@ -266,3 +266,112 @@ def test_html_class_words(page, want):
 def test_html_of_a_long_page():
     blocks, _ = html.read_page("<article>" + "<p>word &amp; " * 20_000)
     assert len(blocks) == 20_000 and set(blocks) == {stdlib_html.unescape("word &amp;")}
+
+
+def test_html_takes_linear_time():
+    import time
+
+    pieces = ['<a title="x ', "<!--", "<p class='x>y ", "<div>x", "<b><div>x", "<p><b class=ad>x", "<ul><li><p>x", "<span class=ad>x", "<x ", "&amp", "<![x", "</b><i>"]
+    for piece in pieces:
+        start = time.perf_counter()
+        html.read_page(piece * 20_000 + ">")
+        assert time.perf_counter() - start < 10, piece
+    assert html.read_page('<p class="x>hello</p>')[0] == ["hello"] and html.read_page("a <b and c")[0] == ["a <b and c"]
+    assert html.read_page('<p>it <span class="ad">x<span>y</span>z</span> goes</p>')[0] == ["it goes"]
+
+
+def random_site(rng, pages):
+    """Pages as trees: (tag, class or None, children), a child being a text or a tree."""
+    words = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    shared = [("div", None, [("p", None, [words(3)]), ("p", None, [words(2)])]) for _ in range(3)] + [("section", "x", [words(2)]), ("nav", None, [("ul", None, [("li", None, [words(1)])])])]
+
+    def some(depth):
+        kind = rng.random()
+        if kind < 0.25:
+            return rng.choice(shared)
+        if kind < 0.4:
+            return ("div", rng.choice(["ad", "side-story", "comments", "menu top"]), [("p", None, [words(3)])])
+        if kind < 0.7 or depth > 2:
+            return ("p", None, [words(3)])
+        return (rng.choice(["div", "section", "aside"]), None, [some(depth + 1) for _ in range(rng.randint(1, 3))])
+
+    out = []
+    for _ in range(pages):
+        body = [some(0) for _ in range(rng.randint(0, 4))]
+        if rng.random() < 0.5:
+            body.insert(rng.randint(0, len(body)), ("article", None, [("p", None, [words(2)]), *(some(1) for _ in range(rng.randint(0, 2)))]))
+        out.append(("body", None, body))
+    return out
+
+
+def written(tree):
+    if isinstance(tree, str):
+        return tree
+    tag, name, children = tree
+    return f"<{tag}{f' class={chr(34)}{name}{chr(34)}' if name else ''}>{''.join(map(written, children))}</{tag}>"
+
+
+def walked(tree, article=False, gone=False, slot=None, inside=()):
+    """(text, in an article, gone, slot, subtrees around) of each text of a tree."""
+    tag, name, children = tree
+    gone = gone or tag in ("nav", "aside")
+    if name in ("ad", "comments", "menu top") and not slot:
+        slot = (tag, name)
+    if tag == "article" and slot != ("div", "comments") and not gone:
+        article, slot = True, None
+    if tag not in ("body", "article") and not (article and tag in ("p", "li")):
+        inside = (*inside, bare(tree))
+    for c in children:
+        if isinstance(c, str):
+            yield c, article, gone, None if gone else slot, inside
+        else:
+            yield from walked(c, article, gone, slot, inside)
+
+
+def bare(tree):
+    return tree if isinstance(tree, str) else (tree[0], tuple(map(bare, tree[2])))
+
+
+def stays(texts, settled, templates, slots):
+    kept = [t for t in texts if not t[2] and not set(t[4]) & templates and not (t[3] and (not settled or t[3] in slots))]
+    articles = [t for t in kept if t[1]]
+    return [t[0] for t in (articles if articles and not settled else kept)]
+
+
+def test_html_against_brute_force(spark):
+    rng = random.Random(5)
+    sites = {f"{k}.example": random_site(rng, n) for k, n in enumerate((1, 3, 4, 6, 12, 40))}
+    many, enough = 3, 4
+    rows, texts, content = [], {}, {}
+    for host, pages in sites.items():
+        for tree in pages:
+            k = len(rows)
+            rows.append((k, f"https://{host}/{k}", written(tree)))
+            texts[k] = list(walked(tree))
+            content[k] = (host, tuple(stays(texts[k], False, set(), set())))
+    seen, slot_pages, everywhere = {}, {}, {}
+    for k, (host, _) in content.items():
+        for t in texts[k]:
+            for subtree in t[4]:
+                seen.setdefault((host, subtree), set()).add(content[k])
+            if t[3]:
+                slot_pages.setdefault((host, t[3]), set()).add(content[k])
+    for (_, slot), pages in slot_pages.items():
+        everywhere[slot] = everywhere.get(slot, 0) + len(pages)
+    want, off = {}, {}
+    for k, (host, _) in content.items():
+        settled = len({c for c in content.values() if c[0] == host}) >= enough
+        templates = {s for (h, s), pages in seen.items() if h == host and len(pages) >= many}
+        want[k] = "\n".join(stays(texts[k], settled, templates, {s for s, n in everywhere.items() if n >= many}))
+        off[k] = "\n".join(stays(texts[k], settled, set(), set()))
+    df = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")
+    assert {r.page_id: r.text for r in html.extract(df, many=many, enough=enough).collect()} == want
+    assert {r.page_id: r.text for r in html.extract(df, many=10**9, enough=enough).collect()} == off
+    assert sum(want[k] != off[k] for k in want) > 20
+
+
+def test_html_of_a_hot_host_and_null_ids(spark):
+    page = lambda k: f"<body><div>Welcome</div><div class='ad {chr(97 + k)}-box'>odd {k}</div><div class=ad>buy {k}</div><p>text {k}</p></body>"
+    rows = [(None, None if k % 2 else "", page(k // 3)) for k in range(60)]
+    got = sorted(r.text for r in html.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect())
+    assert got == sorted(f"odd {k // 3}\ntext {k // 3}" for k in range(60))
