@@ -10,8 +10,8 @@ stays otherwise. Only where a host has fewer pages, so that counts settle nothin
 if there is an <article> or <main>, only its text is taken. Elements that by their tag, role or `hidden` are no text of an
 article (navigation, footers, forms, scripts) go everywhere.
 
-Two pages of a host are different if their articles are (without one: their texts outside such slots), so that copies of a page never delete each
-other. Subtrees and blocks carry ranges, so that deleting needs no second reading of the page.
+Two pages of a host are different if their articles are (without one: their texts outside such slots), so that copies of a page never delete
+each other.
 
 Cases: null is the empty page; text without any tag is one block; unclosed and stray tags are tolerated, a quote that is never
 closed is an ordinary character; null URLs share one host; equal rows give equal rows; an empty table gives no rows; other
@@ -22,12 +22,13 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -294,42 +295,48 @@ def read_page(source: str | None) -> tuple[list[str], list[tuple[int, int, int]]
     return main_text(blocks, []), subtrees
 
 
-PARSED = "page_id BIGINT, url STRING, host STRING, page BINARY, content BIGINT, texts ARRAY<STRING>, main ARRAY<BOOLEAN>, gone ARRAY<BOOLEAN>, slots ARRAY<BIGINT>, subtrees ARRAY<STRUCT<hash: BIGINT, first: INT, end: INT>>"
+def _digest(source: str) -> bytes:
+    return xxhash.xxh3_128_digest(source.encode("utf-8", "surrogatepass"))
 
 
-def parsed(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
-    """Of each row its id, url and host; a digest of the whole page and one of its main text; texts of blocks with what is known of each; and the subtrees."""
+def _with_host(df: DataFrame, page_id: str, url: str, page: str) -> DataFrame:
+    host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+    return df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("html"))
+
+
+def _by_parts(rows: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """fn on 500 rows at a time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sources = [s or "" for s in part.column(2).to_pylist()]
-                read = [parse_page(s) for s in sources]
-                content = ["\n".join(main_text(blocks, [])) for blocks, _ in read]
-                column = lambda k, kind: pa.array([[b[k] for b in blocks] for blocks, _ in read], pa.list_(kind))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(part.column(k) for k in (0, 1, 3)),
-                        pa.array([xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass")) for s in sources], pa.binary()),
-                        pa.array([xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) - 2**63 for c in content], pa.int64()),
-                        *(column(k, kind) for k, kind in enumerate((pa.string(), pa.bool_(), pa.bool_(), pa.int64()))),
-                        pa.array([[{"hash": h, "first": a, "end": b} for h, a, b in trees] for _, trees in read], pa.list_(tree)),
-                    ],
-                    ["page_id", "url", "host", "page", "content", "texts", "main", "gone", "slots", "subtrees"],
-                )
+                yield fn(batch.slice(at, 500))
+
+    return rows.mapInArrow(run, schema)
 
-    host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = df.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), page, host.alias("host"))
-    return rows.mapInArrow(run, PARSED)
+
+def parsed(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
+    """Of each page its host, a digest of it and one of its main text, its subtrees, and the slots of its blocks (0 where none)."""
+
+    def read(part: pa.RecordBatch) -> pa.RecordBatch:
+        tree = pa.struct([("hash", pa.int64()), ("first", pa.int32()), ("end", pa.int32())])
+        sources = part.column(1).to_pylist()
+        found = [parse_page(s) for s in sources]
+        content = [xxhash.xxh3_64_intdigest("\n".join(main_text(blocks, [])).encode("utf-8", "surrogatepass")) - 2**63 for blocks, _ in found]
+        slots = [[b.slot or 0 for b in blocks] if any(b.slot for b in blocks) else [] for blocks, _ in found]
+        trees = [[{"hash": h, "first": a, "end": b} for h, a, b in trees] for _, trees in found]
+        columns = [part.column(0), pa.array(map(_digest, sources), pa.binary()), pa.array(content, pa.int64()), pa.array(trees, pa.list_(tree)), pa.array(slots, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["host", "page", "content", "subtrees", "slots"])
+
+    rows = _with_host(df, page_id, url, page).select("host", "html")
+    return _by_parts(rows, "host STRING, page BINARY, content BIGINT, subtrees ARRAY<STRUCT<hash: BIGINT, first: INT, end: INT>>, slots ARRAY<BIGINT>", read)
 
 
 def site_counts(read: DataFrame, many: int = MANY, enough: int = ENOUGH) -> DataFrame:
     """host, kind, key: subtrees (t) and slots (s) that are part of the site, and hosts (h, key 0) of enough different pages. Rows of a hot host meet in partial aggregates only."""
     none = F.array().cast("array<struct<kind:string,key:bigint>>")
     key = lambda kind, k: F.struct(F.lit(kind).alias("kind"), k.cast("bigint").alias("key"))
-    every = F.concat(F.array(key("h", F.lit(0))), F.transform("subtrees", lambda t: key("t", t["hash"])), F.transform(F.filter("slots", lambda s: s.isNotNull()), lambda s: key("s", s)), none)
+    every = F.concat(F.array(key("h", F.lit(0))), F.transform("subtrees", lambda t: key("t", t["hash"])), F.transform(F.filter("slots", lambda s: s != 0), lambda s: key("s", s)), none)
     seen = read.select("host", "content", F.explode(F.array_distinct(every)).alias("k")).select("host", "content", "k.*").distinct()
     counts = staged(seen.groupBy("host", "kind", "key").agg(F.count("*").alias("n")).where((F.col("kind") == "s") | (F.col("n") >= F.when(F.col("kind") == "h", enough).otherwise(many))), "counts")
     anywhere = counts.where("kind = 's'").groupBy("kind", "key").agg(F.sum("n").alias("all")).where(F.col("all") >= many)
@@ -338,22 +345,31 @@ def site_counts(read: DataFrame, many: int = MANY, enough: int = ENOUGH) -> Data
 
 
 def extract(df: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", many: int = MANY, enough: int = ENOUGH) -> DataFrame:
-    """page_id, url, text, n_chars of every row. The joins read staged tables on both sides, so that adaptive execution can split a hot host or page."""
-    read = staged(parsed(df, page_id=page_id, url=url, page=page), "pages")
+    """page_id, url, text, n_chars of every row.
+
+    Pages are read twice, for the counts and for the text: what is staged between are numbers, and the one shuffle of pages moves
+    them compressed. No join has an aggregate under it, so that adaptive execution can split a hot host or page."""
+    read = staged(parsed(df, page_id=page_id, url=url, page=page), "subtrees")
     site = site_counts(read, many, enough)
     mark = lambda kind, k, a, b: F.struct(F.lit(kind).alias("kind"), k.cast("bigint").alias("key"), a.cast("int").alias("first"), b.cast("int").alias("end"))
-    of_slots = F.filter(F.transform("slots", lambda s, k: mark("s", s, k, k + 1)), lambda m: m["key"].isNotNull())
+    of_slots = F.filter(F.transform("slots", lambda s, k: mark("s", s, k, k + 1)), lambda m: m["key"] != 0)
     marks = F.concat(F.array(mark("h", F.lit(0), F.lit(0), F.lit(0))), F.transform("subtrees", lambda t: mark("t", t["hash"], t["first"], t["end"])), of_slots)
     found = read.select("host", "page", F.explode(marks).alias("m")).select("host", "page", "m.*").join(site, ["host", "kind", "key"])
     cuts = staged(found.groupBy("host", "page").agg(F.collect_set(F.struct("kind", "first", "end")).alias("cuts")), "cuts")  # of one page: bounded by its length
     kinds = "array<struct<kind:string,first:int,end:int>>"
-    joined = read.join(cuts, ["host", "page"], "left")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = ["\n".join(main_text([Block(*b) for b in zip(*blocks, strict=True)], marks or [])) for *blocks, marks in zip(*(c.to_pylist() for c in part.columns[2:]), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "texts", "main", "gone", "slots", "cuts").mapInArrow(run, "page_id BIGINT, url STRING, text STRING, n_chars BIGINT")
+    def squeeze(part: pa.RecordBatch) -> pa.RecordBatch:
+        sources = part.column(3).to_pylist()
+        squeezed = zstandard.ZstdCompressor(level=3)
+        columns = [*part.columns[:3], pa.array(map(_digest, sources), pa.binary()), pa.array([squeezed.compress(s.encode("utf-8", "surrogatepass")) for s in sources], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "page", "html"])
+
+    def write(part: pa.RecordBatch) -> pa.RecordBatch:
+        whole = zstandard.ZstdDecompressor()
+        sources = [whole.decompress(s).decode("utf-8", "surrogatepass") for s in part.column(2).to_pylist()]
+        texts = ["\n".join(main_text(parse_page(s)[0], marks or [])) for s, marks in zip(sources, part.column(3).to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    pages = _by_parts(_with_host(df, page_id, url, page), "page_id BIGINT, url STRING, host STRING, page BINARY, html BINARY", squeeze)
+    joined = pages.join(cuts, ["host", "page"], "left").select("page_id", "url", "html", "cuts")
+    return _by_parts(joined, "page_id BIGINT, url STRING, text STRING, n_chars BIGINT", write)
