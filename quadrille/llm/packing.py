@@ -120,7 +120,8 @@ def sequences(placed: DataFrame, ids: str = "ids") -> DataFrame:
 def pack_documents(docs: DataFrame, *, path: str, capacity: int = 1024, end_id: int = 2, text: str = "text", doc_id: str = "doc_id", remembered: int = REMEMBERED) -> DataFrame:
     """Tokenizes, cuts and packs whole documents; ids_crc32 stands for the ids, which the caller can have from pieces()."""
     cut = pieces(token_ids(docs, text, path=path, end_id=end_id, keys=(doc_id,), remembered=remembered), capacity=capacity)
-    slim = staged(cut.select(doc_id, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(slim, capacity=capacity, order=[doc_id, "piece", "ids_crc32"])
+    (row,) = own("row")  # tells equal rows apart, so that many of them share no window
+    slim = staged(cut.select(doc_id, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), F.monotonically_increasing_id().alias(row)), "pieces")
+    return pack(slim, capacity=capacity, order=[doc_id, "piece", "ids_crc32", row]).drop(row)
 
 

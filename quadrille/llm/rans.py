@@ -24,6 +24,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -290,7 +291,7 @@ MANIFEST = "path STRING, documents BIGINT, n_ids BIGINT, bytes BIGINT, first_doc
 
 
 def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids: str = "ids", shard_ids: tuple[int, int] = SHARD_IDS) -> DataFrame:
-    """tokens (a table that reads the same twice, its ids squeezed) as a shared table file and shard files in `folder`. Returns the manifest, in which each row names a file; shards are ranges of doc_id."""
+    """tokens (a table that reads the same twice, its ids squeezed) as a shared table file and shard files in `folder`. Returns the manifest, in which each row names a file; shards are ranges of doc_id, and of the ids where many rows have one doc_id or none."""
     counts = count_ids(tokens, ids)
     table = Table.of(counts)
     where, base = _files(folder)
@@ -301,7 +302,7 @@ def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids:
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, at = _files(folder)
-        name = f"shard-{uuid.uuid4().hex}"
+        name = f"shard-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}"  # names sort as the ranges do
         out = writer = None
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -315,13 +316,13 @@ def write_files(tokens: DataFrame, folder: str, *, doc_id: str = "doc_id", ids:
             yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "documents": len(writer.ids), "n_ids": writer.total, "bytes": writer.at, "first_doc": writer.ids[0], "first_null": writer.nulls[0]}])
 
     shards = parts_for(tokens.sparkSession, sum(counts.values()), *shard_ids)
-    rows = tokens.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(ids).alias("ids")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
+    rows = tokens.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(ids).alias("ids")).repartitionByRange(shards, "doc_id", F.substring("ids", 1, 32)).sortWithinPartitions("doc_id", "ids")
     return staged(rows.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files, each task one file at a time."""
-    order = Window.orderBy(F.col("first_null").desc(), "first_doc", "path")  # a row for each file
+    order = Window.orderBy("path")  # a row for each file
     shards = manifest.withColumn("before", F.sum("n_ids").over(order) - F.col("n_ids")).select("path", "bytes", "before")
     tasks = max(1, manifest.count())
 

@@ -68,6 +68,7 @@ class KnownChunks(dict):
 class ByteLevelEncoder:
     """Equal to Tokenizer.encode(text, add_special_tokens=False) of a byte-level BPE, but each chunk of a text is encoded once per worker.
 
+    A text with an added token, such as <|endoftext|>, is encoded in one piece, as the library takes it for that token.
     The pre-tokenizer never joins what stands on both sides of a cut, and merges never cross its pieces; so the ids of a
     text are those of its chunks, one after the other."""
 
@@ -76,7 +77,8 @@ class ByteLevelEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(added)).search if added else lambda _: None
         self.known = KnownChunks(self.tokenizer, remembered)
 
     def whole(self, text: str) -> bytes:
@@ -84,7 +86,7 @@ class ByteLevelEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         ids = self.known.__getitem__
-        return [self.whole(t) if _ODD(t) else b"".join(map(ids, _CHUNKS(t))) for t in texts]
+        return [self.whole(t) if _ODD(t) or self.added(t) else b"".join(map(ids, _CHUNKS(t))) for t in texts]
 
 
 _encoders: dict[tuple[str, int], ByteLevelEncoder] = {}

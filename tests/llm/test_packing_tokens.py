@@ -3,6 +3,7 @@
 import io
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -26,18 +27,28 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary())
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet=st.sampled_from([*" \t\n\r\x0b\x0cab'sTt.,9_-|<>", *map(chr, (0x1C, 0x85, 0xA0, 0xE9, 0xBD, 0xB2, 0x301, 0x6F22, 0x2003, 0x200B, 0x3000, 0x1F642))]), max_size=60))
+@given(st.lists(st.sampled_from(["<|endoftext|>", *" \t\n\r\x0b\x0cab'sTt.,9_-|<>", *map(chr, (0x1C, 0x85, 0xA0, 0xE9, 0xBD, 0xB2, 0x301, 0x6F22, 0x2003, 0x200B, 0x3000, 0x1F642))]), max_size=60).map("".join))
 def test_chunks_give_the_ids_of_the_whole_text(text):
+    enc = tokens.encoder(tokens.vocabulary())
+    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == untouched().encode(text, add_special_tokens=False).ids
+
+
+@cache
+def untouched():
     from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(tokens.vocabulary())
+
+
+def test_special_tokens_are_those_of_the_library():
     enc = tokens.encoder(tokens.vocabulary())
-    assert np.frombuffer(enc.encode([text])[0], "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
-    assert Tokenizer
+    for text in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b <|endoftext|", "don't <|endoftext|>\n\n  x"):
+        ids = np.frombuffer(enc.encode([text])[0], "<u4").tolist()
+        assert ids == untouched().encode(text, add_special_tokens=False).ids and (50256 in ids) == ("<|endoftext|>" in text)
 
 
 def naive_best_fit(counts, capacity):
