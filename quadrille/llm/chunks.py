@@ -5,12 +5,13 @@ cut on, whatever comes before it. Chunks are grouped by a 64-bit digest (a chanc
 copies count); the document with the smallest doc_id has the original, the first in its text, and all others are copies. Runs
 of neighbouring copies with MIN_WORDS words or more are removed, shorter ones are taken for common phrases and stay.
 
-Only (digest, doc_id) rows are shuffled by digest, each digest of a document once, never texts: the last pass cuts its texts
+Only (digest, doc_id, hash of the text) rows are shuffled by digest, each digest of a document once, never texts: the last pass cuts its texts
 again and needs no positions. A digest's rows meet in partial sums; the join back is one that Spark splits when a digest is
-hot. The copied digests of a document come back as a list bounded by its own length.
+hot. The copied digests of a text come back as a list bounded by its own length, however many rows share its doc_id or have none.
 
 Cases: null and empty texts have no chunks and come back as they are; rows of one doc_id count as one document and aren't
-copies of each other; a null doc_id is the last; an empty table gives no rows; columns of the input other than `text` and
+copies of each other; without a doc_id each different text is a document, after all others, in order of a hash of the text;
+equal rows come back equal; an empty table gives no rows; columns of the input other than `text` and
 `n_chars` come back untouched."""
 
 from __future__ import annotations
@@ -80,27 +81,27 @@ def chunks_of(data: bytes) -> list[tuple[int, int, int]]:
 
 
 def chunk_rows(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """digest, d (the doc_id, or the largest integer for null): each digest of each text once."""
+    """digest, d (the doc_id), h (a hash of the text): each digest of each text once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 found = [np.fromiter({c[2] for c in chunks_of((t or "").encode("utf-8", "surrogatepass"))}, np.int64) for t in part.column(1).to_pylist()]
-                ids = np.repeat(np.asarray(part.column(0)), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(ids)], ["digest", "d"])
+                rows = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), part.column(0).take(rows), part.column(2).take(rows)], ["digest", "d", "h"])
 
-    return df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(2**63 - 1)).alias("d"), text).mapInArrow(run, "digest BIGINT, d BIGINT")
+    return df.select(F.col(doc_id).cast("bigint").alias("d"), text, F.xxhash64(text).alias("h")).mapInArrow(run, "digest BIGINT, d BIGINT, h BIGINT")
 
 
 def copies(chunks: DataFrame) -> DataFrame:
-    """d, digests: of each document the digests that a document with a smaller id has.
+    """d, h, digests: of each text the digests that an earlier document has.
 
     The first join side is written down, so that Spark may split the other one where a digest is hot."""
-    first = chunks.groupBy("digest").agg(F.min("d").alias("first"), F.count("*").alias("n"))
-    again = staged(first.where("n > 1").select("digest", "first"), "repeated")
-    found = chunks.join(again, "digest").where(F.col("d") != F.col("first"))
-    return found.groupBy("d").agg(F.collect_set("digest").alias("digests"))  # of one document: bounded by its length
+    first = chunks.groupBy("digest").agg(F.min("d").alias("first"), F.min(F.when(F.col("d").isNull(), F.col("h"))).alias("first_h"), F.count("*").alias("n"))
+    again = staged(first.where("n > 1").select("digest", "first", "first_h"), "repeated")
+    found = chunks.join(again, "digest").where(F.when(F.col("d").isNull(), F.col("first").isNotNull() | (F.col("h") != F.col("first_h"))).otherwise(F.col("d") != F.col("first")))
+    return found.groupBy("d", "h").agg(F.collect_set("digest").alias("digests"))  # of one text: bounded by its length
 
 
 def runs_to_drop(data: bytes, spans: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
@@ -143,9 +144,9 @@ def cut_out(text: str, digests: set[int], min_words: int = MIN_WORDS) -> tuple[s
 
 def deduplicate(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """df with `text` without its copied passages, n_chars (its code points) and removed: the passages' places in the old text (array of first, end)."""
-    digests_name, key = own("digests", "key")
-    found = staged(copies(chunk_rows(df, doc_id=doc_id, text=text)), "copies").select(F.col("d").alias(key), F.col("digests").alias(digests_name))
-    joined = df.drop("removed").join(found, F.coalesce(F.col(doc_id).cast("bigint"), F.lit(2**63 - 1)) == F.col(key), "left").drop(key)
+    digests_name, key, key_h = own("digests", "key", "h")
+    found = staged(copies(chunk_rows(df, doc_id=doc_id, text=text)), "copies").select(F.col("d").alias(key), F.col("h").alias(key_h), F.col("digests").alias(digests_name))
+    joined = df.drop("removed").join(found, F.col(doc_id).cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(key_h)), "left").drop(key, key_h)
     kept = [c for c in df.columns if c not in ("removed", "n_chars")]
     out = T.StructType([*(df.schema[c] for c in kept), T.StructField("n_chars", T.LongType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
     arrow = to_arrow_schema(out)

@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,36 +47,37 @@ def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def digests(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, digest of each row."""
+    """doc_id, h (a hash of the text that tells rows of one doc_id, or of none, apart) and digest of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [digest(canonical(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string())], ["doc_id", "h", "digest"])
 
-    return _rows(df, doc_id, text).mapInArrow(run, "doc_id BIGINT, digest STRING")
+    return _rows(df, doc_id, text).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id BIGINT, h BIGINT, digest STRING")
 
 
 def same_bytes(df: DataFrame, repeated: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of the documents with a digest in `repeated` (a column `digest`): digest, canonical form, its number among the digest's forms (0 first)."""
+    """Of the documents with a digest in `repeated` (doc_id, h): digest, canonical form, its number among the digest's forms (0 first)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             forms = [canonical(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([digest(f) for f in forms]), pa.array(forms)], ["digest", "form"])
 
-    forms = _rows(df, doc_id, text).join(repeated.select(F.col("doc_id")), "doc_id", "left_semi").mapInArrow(run, "digest STRING, form STRING")
+    wanted = repeated.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    forms = _rows(df, doc_id, text).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi").mapInArrow(run, "digest STRING, form STRING")
     forms = forms.groupBy("digest", "form").agg(F.count("*").alias("rows"))  # compares the bytes
     return forms.withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy(F.encode("form", "UTF-8"))) - 1)
 
 
 def fingerprint_groups(df: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """found: doc_id, digest of every row of df (as digests() gives them, staged).
+    """found: doc_id, h, digest of every row of df (as digests() gives them, staged).
 
     Returns the groups (digest, n documents, smallest doc_id) and the collisions: canonical forms that aren't the first of their digest (digest, form, number), of which there are none unless xxh3 collides."""
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id"))
     groups = staged(groups, "groups")
-    repeated = found.join(groups.where("n > 1").select("digest"), "digest", "left_semi").select("doc_id")
+    repeated = found.join(groups.where("n > 1").select("digest"), "digest", "left_semi").select("doc_id", "h")
     collisions = staged(same_bytes(df, repeated, doc_id=doc_id, text=text).where("number > 0").select("digest", "form", "number"), "collisions")
     return groups, collisions
 
@@ -83,45 +85,43 @@ def fingerprint_groups(df: DataFrame, found: DataFrame, *, doc_id: str = "doc_id
 def pair_with_next(df: DataFrame, fields: str, fn: Callable[[str, str], tuple], *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fn(text, text of the next document) for each row, in ascending doc_id (null first, ties by text); after the last row the first.
 
-    Texts move once, to ranges of doc_id. What a range can't decide alone, its last row with the first row of the range
+    Texts move once, to ranges of doc_id and, where many rows have one doc_id or none, of the text's first characters. What a range can't decide alone, its last row with the first row of the range
     after it, is kept beside the results: two rows of each range, paired by a join in the end."""
     rows = _rows(df, doc_id, text)
     ranges = parts_for(df.sparkSession, rows.count(), *RANGE_ROWS)
     out = [*T.StructType.fromDDL(fields)]
-    inner = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("edge", T.IntegerType()), T.StructField("text", T.StringType()), *out])
+    inner = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("edge", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("text", T.StringType()), *out])
     arrow = to_arrow_schema(inner)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None
+        part = TaskContext.get().partitionId()  # ranges are numbered in their order
         for batch in batches:
             found = []
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.append((*row[:1], 0, row[1], *[None] * len(out)) if last is None else (last[0], None, None, *fn(last[1], row[1])))
+                found.append((row[0], 0, part, row[1], *[None] * len(out)) if last is None else (last[0], None, None, None, *fn(last[1], row[1])))
                 last = row
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow) if found else pa.RecordBatch.from_pylist([], arrow)
         if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((last[0], 1, last[1], *[None] * len(out)), arrow, strict=True)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip((last[0], 1, part, last[1], *[None] * len(out)), arrow, strict=True)], schema=arrow)
 
-    ran = staged(rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, inner), "pairs")
+    ran = staged(rows.repartitionByRange(ranges, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text").mapInArrow(run, inner), "pairs")
     edges = ran.where("edge IS NOT NULL")
-    order = Window.orderBy("doc_id", "edge")  # two slim rows for each range
-    slim = edges.select("doc_id", "edge").withColumn("k", F.row_number().over(order))
-    n = slim.where("edge = 0").count()
-    follows = slim.where("edge = 1").select("doc_id", F.when(F.col("k") == 2 * n, 1).otherwise(F.col("k") + 1).alias("k"))
-    follows = follows.join(slim.where("edge = 0").select("k", F.col("doc_id").alias("next_id")), "k").select("doc_id", "next_id")
-    firsts = edges.where("edge = 0").select(F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    lasts = edges.where("edge = 1").select(F.col("doc_id").alias("last_id"), "text")
-    ends = lasts.join(follows, F.col("last_id").eqNullSafe(F.col("doc_id"))).drop("doc_id").join(firsts.withColumnRenamed("next_id", "first_id"), F.col("next_id").eqNullSafe(F.col("first_id")))
+    firsts = edges.where("edge = 0").select(F.col("part").alias("next"), F.col("text").alias("next_text"))
+    lasts = edges.where("edge = 1").select(F.col("doc_id").alias("last_id"), "part", "text")
+    order = Window.orderBy("part")  # a number for each range
+    follows = edges.where("edge = 0").select("part").withColumns({"next": F.lead("part").over(order), "least": F.min("part").over(Window.partitionBy())})
+    ends = lasts.join(follows.select("part", F.coalesce("next", "least").alias("next")), "part").join(firsts, "next")
 
     def run_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = pa.schema([arrow.field(0), *list(arrow)[3:]])
+        kept = pa.schema([arrow.field(0), *list(arrow)[4:]])
         for batch in batches:
             found = [(d, *fn(a, b)) for d, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), kept, strict=True)], schema=kept)
 
     ended = ends.select("last_id", "text", "next_text").mapInArrow(run_ends, T.StructType([inner[0], *out]))
-    return ran.where("edge IS NULL").drop("edge", "text").unionByName(ended)
+    return ran.where("edge IS NULL").drop("edge", "part", "text").unionByName(ended)
 
 
 CONTRACT = "n_chars BIGINT, edited_sha256 STRING, fingerprint STRING, edited_fingerprint STRING, near_edited DOUBLE, near_next DOUBLE"

@@ -179,12 +179,33 @@ def test_fingerprints(spark):
 
 
 def test_equal_digests_of_unequal_texts_are_told_apart(spark, monkeypatch):
-    df = frame(spark, [(1, "one"), (2, "two"), (3, "two"), (4, "three")])
-    found = spark.createDataFrame([(1, "d"), (2, "d"), (3, "d"), (4, "e")], "doc_id BIGINT, digest STRING")
-    repeated = found.where("doc_id < 4").select("doc_id")
+    df = frame(spark, [(1, "one"), (2, "two"), (None, "two"), (None, "six"), (4, "three")])
+    repeated = df.where("doc_id IS NULL OR doc_id < 4").selectExpr("doc_id", "xxhash64(text) AS h")
     monkeypatch.setattr(fingerprints, "digest", lambda form: "d")
     import inspect
 
     assert "groupBy(\"digest\", \"form\")" in inspect.getsource(fingerprints.same_bytes)
     forms = fingerprints.same_bytes(df, repeated)
-    assert forms.select("form").distinct().count() == 2
+    assert sorted(r.form for r in forms.collect()) == ["one", "six", "two"]
+
+
+def test_many_rows_without_an_id(spark):
+    """As many null and repeated ids as others: each text is a document of its own, and no row is lost."""
+    rng = random.Random(9)
+    passage = prose(rng, 80)
+    rows = [(None, f"{prose(rng, 20)} {passage} {prose(rng, 20)}") for _ in range(30)] + [(2**63 - 1, prose(rng, 60)), (5, passage), (6, prose(rng, 30))] + [(7, prose(rng, 40)) for _ in range(30)]
+    got = chunks.deduplicate(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    nulls = [r for r in got if r.doc_id is None]
+    assert len(nulls) == 30 and all(len(r.removed) == 1 and r.n_chars == len(r.text) for r in nulls)
+    assert all(not r.removed for r in got if r.doc_id is not None)
+    alone = chunks.deduplicate(frame(spark, rows[:30])).collect()
+    assert sorted(len(r.removed) for r in alone) == [0] + [1] * 29
+    old, fingerprints.RANGE_ROWS = fingerprints.RANGE_ROWS, (4, 4)
+    try:
+        prints = fingerprints.fingerprints(frame(spark, rows)).collect()
+    finally:
+        fingerprints.RANGE_ROWS = old
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    edits = [fingerprints.edited(t, order[(k + 1) % len(order)][1]) for k, (_, t) in enumerate(order)]
+    assert sorted(r.edited_sha256 for r in prints) == sorted(hashlib.sha256(e.encode()).hexdigest() for e in edits)
