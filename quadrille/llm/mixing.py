@@ -6,18 +6,22 @@ in training its words are wanted: a weight that runs straight from `early` to `l
 copy of a document demands the next stretch of its source's words; inverting the integral gives its position in training.
 Documents are range-sorted by position.
 
-Within a source, documents stand in order of the md5 of their id. Running sums go by hashed ranges of that order: sums of
-ranges first, then within a range, so no task holds a source. The last copy is given to documents up to the one whose middle
+Within a source, documents stand in order of the md5 of their id, then of a hash of the row. Rows equal in all columns are one
+row with a count until the end. Running sums go by nested ranges of that order (first digits of the md5, the md5, first digits
+of the row's hash): a window holds a range's rows, or one row for each range in the next wider one, so no task holds a source
+or all rows of an id. The last copy is given to documents up to the one whose middle
 is over the target.
 
 Cases: null texts have size 0; a null source is a source of its own, the last; documents of size 0 are taken for 0 words; a
-corpus without words has targets 0; repeated rows are each a document in plan(), and in mix() rows equal in id and text are
-one document (others could not be told apart); extra columns come through mix() untouched."""
+corpus without words has targets 0; repeated rows are each a document, and rows of one id are told apart by all their
+columns; null ids are like any other; extra columns come through mix() untouched. Sources are expected to be few: windows over
+them, one row each, are not split."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from .common import staged, words_of
@@ -31,14 +35,20 @@ POSITIONS = 1_000_000_000
 
 
 def sizes(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, key (the order within a source) and a hash of the text."""
+    """doc_id, source, size, key (the order within a source), h (a hash of all columns) and n: how many rows are equal."""
     key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    return df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("bigint").alias("size"), key.alias("key"), F.xxhash64(text).alias("h"))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words_of(F.col(text))).cast("bigint").alias("size"), key.alias("key"), row_hash(df).alias("h"))
+    return rows.groupBy("doc_id", "source", "size", "key", "h").agg(F.count("*").alias("n"))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns but maps, which have no order."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType)))
 
 
 def targets(slim: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """source, source_size, target, place: a row for each source."""
-    s = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = slim.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # over sources
     s = s.withColumn("place", (rank % len(weights)).cast("int"))
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.col("place") + 1)).withColumn("cap", most * F.col("source_size"))
@@ -50,17 +60,26 @@ def targets(slim: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def running(slim: DataFrame, rows: int) -> DataFrame:
-    """slim with before: the words of the source's documents ahead of each."""
+    """slim with before: the words of the source's documents ahead of the first of each row's equals."""
     digits = 0
     while digits < 5 and rows > RANGE_ROWS * 16**digits:
         digits += 1
-    slim = slim.withColumn("range", F.substring("key", 1, digits))
-    sums = slim.groupBy("source", "range").agg(F.sum("size").alias("ahead"))
-    sums = sums.withColumn("ahead", F.sum("ahead").over(Window.partitionBy("source").orderBy("range")) - F.col("ahead"))
-    within = F.sum("size").over(Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    dealt = slim.withColumn("before", within)
-    sums = sums.select(F.col("source").alias("__s"), F.col("range").alias("__r"), "ahead")
-    return dealt.join(sums, F.col("source").eqNullSafe(F.col("__s")) & (F.col("range") == F.col("__r"))).withColumn("before", F.col("before") + F.col("ahead")).drop("__s", "__r", "ahead", "range")
+    ranged = slim.withColumn("amount", F.col("size") * F.col("n")).withColumns({"__r0": F.substring("key", 1, digits), "__r1": F.col("key"), "__r2": F.substring(F.lpad(F.hex("h"), 16, "0"), 1, digits)})
+    return _ahead(ranged, ["source", "__r0", "__r1", "__r2"], [F.lpad(F.hex("h"), 16, "0"), F.col("doc_id"), F.col("size")]).drop("amount", "__r0", "__r1", "__r2")
+
+
+def _ahead(rows: DataFrame, ranges: list[str], order: list[Column]) -> DataFrame:
+    """rows with before: the sum of `amount` ahead of each in its first range's order. ranges: nested, the widest first."""
+    within = F.sum("amount").over(Window.partitionBy(*ranges).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("amount")
+    dealt = rows.withColumn("before", within)
+    if len(ranges) == 1:
+        return dealt
+    sums = _ahead(rows.groupBy(*ranges).agg(F.sum("amount").alias("amount")), ranges[:-1], [F.col(ranges[-1])])
+    sums = sums.select(*(F.col(r).alias(f"__of{r}") for r in ranges), F.col("before").alias("__ahead"))
+    on = F.lit(True)
+    for r in ranges:
+        on = on & F.col(r).eqNullSafe(F.col(f"__of{r}"))
+    return dealt.join(sums, on).withColumn("before", F.col("before") + F.col("__ahead")).drop("__ahead", *(f"__of{r}" for r in ranges))
 
 
 def _when(share: Column, early: Column, late: Column) -> Column:
@@ -70,10 +89,13 @@ def _when(share: Column, early: Column, late: Column) -> Column:
 
 
 def plan(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, early_late: tuple[tuple[float, float], ...] = EARLY_LATE) -> DataFrame:
-    """A row for each row of df: doc_id, source, size, h, source_size, target, copies, taken, positions (one for each copy, in 0 ... POSITIONS)."""
+    """A row for each row of df (of equal ones each has its own): doc_id, source, size, h, source_size, target, copies, taken, positions (one for each copy, in 0 ... POSITIONS)."""
     slim = staged(sizes(df, doc_id=doc_id, text=text, source=source), "sizes")
     of = staged(targets(slim, weights=weights, most=most), "targets").withColumnRenamed("source", "__source")
-    rows = running(slim, slim.count()).join(of, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+    rows = running(slim, slim.count())
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / 1000)))  # in two steps, so that no array is long
+    rows = rows.withColumn("__block", block).withColumn("__equal", F.explode(F.sequence(F.col("__block") * 1000, F.least(F.col("n"), F.col("__block") * 1000 + 1000) - 1)))
+    rows = rows.withColumn("before", F.col("before") + F.col("__equal") * F.col("size")).drop("__block", "__equal", "n").join(of, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     rest = F.col("target") - F.col("whole") * F.col("source_size")
     more = (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= rest) & (F.col("whole") < most)
@@ -92,11 +114,10 @@ def in_order(rows: DataFrame, position: str, *others: str) -> DataFrame:
 
 def mix(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", position: str = "position", **how: object) -> DataFrame:
     """The copies themselves, in order: df's columns and the position (which replaces a column of that name)."""
-    planned = staged(plan(df, doc_id=doc_id, text=text, source=source, **how), "plan")
-    keyed = planned.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__source")).agg(F.flatten(F.collect_list("positions")).alias("__at"), F.count("*").alias("__n"))
+    planned = plan(df, doc_id=doc_id, text=text, source=source, **how)
+    keyed = staged(planned.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("source").alias("__source"), F.explode("positions").alias("__at")), "plan")
     keep = [c for c in df.columns if c != position]
-    rows = df.select(*keep, F.xxhash64(text).alias("__hash"))
-    if planned.groupBy("doc_id", "h", "source").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates([doc_id, "__hash", source])
-    on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & F.col(source).eqNullSafe(F.col("__source"))
-    return in_order(rows.join(keyed, on).select(*keep, F.explode("__at").alias(position)), position, doc_id)
+    # equal rows are one row here, whose copies have the positions of all of them
+    rows = df.withColumn("__hash", row_hash(df)).groupBy(F.col(doc_id).alias("__key"), "__hash", F.col(source).alias("__of")).agg(*(F.first(f"`{c}`").alias(c) for c in keep))
+    on = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & F.col("__of").eqNullSafe(F.col("__source"))
+    return in_order(rows.join(keyed, on).select(*keep, F.col("__at").alias(position)), position, doc_id)

@@ -162,6 +162,24 @@ def test_mixing(docs, rows):
     assert mixing.plan(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_rows_without_an_id_and_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 5)
+    rows = [(None, "a b c", "s", k) for k in range(40)] + [(None, "a b", "t", 1)] * 40 + [(9, "a", "u", k % 2) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING, extra BIGINT")
+    plan = mixing.plan(df).collect()
+    assert len(plan) == len(rows)
+    taken = {}
+    for r in plan:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert all(abs(taken[r.source] - r.target) <= r.size for r in plan)
+    starts = sorted(p for r in plan if r.source == "t" for p in r.positions)
+    assert len(set(starts)) == len(starts)  # equal rows stand one after the other
+    mixed = mixing.mix(df).collect()
+    assert len(mixed) == sum(r.copies for r in plan)
+    assert {(r.doc_id, r.text, r.source, r.extra) for r in mixed} <= set(rows) and len({r.extra for r in mixed if r.source == "s"}) > 15
+    assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
+
+
 def test_schedule_is_inverted(spark):
     from pyspark.sql import functions as F
 
