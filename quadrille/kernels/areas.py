@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
 
+from .lines import chains
+
 Point = tuple[float, float]
 Rect = tuple[float, float, float, float]
 
@@ -19,31 +21,38 @@ def area(ring: Sequence[Point]) -> float:
 
 
 def assemble_rings(fragments: Sequence[Sequence[int]]) -> list[list[int]]:
-    """Closed node sequences from fragments, joined end to end in their order and turned as needed. Chains that can't be closed are dropped with all that they took."""
-    ends: dict[int, list[int]] = defaultdict(list)
-    for k, f in enumerate(fragments):
-        if len(f) >= 2 and f[0] != f[-1]:
-            ends[f[0]].append(k)
-            ends[f[-1]].append(k)
-    used, out = [len(f) < 2 for f in fragments], []
+    """Closed node sequences of at least four from fragments, turned as needed.
+
+    At each node the ends of fragments pair up in their order. Chains of pairs that don't close are dropped with all their
+    fragments; one that closes but comes to a node twice is as many rings as it has loops."""
+    at: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for k, f in enumerate(fragments):
-        if used[k]:
-            continue
-        used[k] = True
-        ring = list(f)
-        if ring[0] == ring[-1]:
-            out.append(ring)
-            continue
-        while True:
-            if ring[0] == ring[-1] and len(ring) >= 4:
-                out.append(ring)
-                break
-            follow = next((j for j in ends[ring[-1]] if not used[j]), None)
-            if follow is None:
-                break
-            used[follow] = True
-            more = fragments[follow]
-            ring += (more[::-1] if more[-1] == ring[-1] else more)[1:]
+        if len(f) >= 2:
+            at[f[0]].append((k, 0))
+            at[f[-1]].append((k, 1))
+    partner = {}
+    for ends in at.values():
+        for a, b in zip(ends[::2], ends[1::2], strict=False):
+            partner[a], partner[b] = b, a
+    out = []
+    for chain, closes in chains(len(fragments), partner):
+        if closes:
+            out += _loops([fragments[k][::-1] if turn else fragments[k] for k, turn in chain])
+    return [ring for ring in out if len(ring) >= 4]
+
+
+def _loops(walk: Sequence[Sequence[int]]) -> list[list[int]]:
+    """A closed walk over fragments, cut where it comes to an end of a fragment again."""
+    out, open_, place = [], [], {walk[0][0]: 0}
+    for f in walk:
+        open_.append(f)
+        if f[-1] in place:
+            k = place[f[-1]]
+            loop, open_ = open_[k:], open_[:k]
+            out.append([loop[0][0], *(n for g in loop for n in g[1:])])
+            place = {node: j for node, j in place.items() if j <= k}
+        else:
+            place[f[-1]] = len(open_)
     return out
 
 
@@ -66,27 +75,37 @@ def assign_holes(outers: Sequence[Sequence[Point]], holes: Sequence[Sequence[Poi
     return out
 
 
-def clip_ring_simple(ring: Sequence[Point], rect: Rect) -> list[Point]:
-    """Sutherland-Hodgman: one ring, which may run along the border where the part inside isn't connected."""
-    for axis, bound, keep_below in ((0, rect[0], False), (0, rect[2], True), (1, rect[1], False), (1, rect[3], True)):
+def clip_to_band(ring: Sequence[Point], axis: int, low: float, high: float) -> list[Point]:
+    """Sutherland-Hodgman on one axis: one ring, which may run along the border where the part inside isn't connected."""
+    for bound, sign in ((low, 1.0), (high, -1.0)):
         out: list[Point] = []
-        ok = lambda p, axis=axis, bound=bound, below=keep_below: p[axis] <= bound if below else p[axis] >= bound
-        for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True):
-            if ok(a) != ok(b):
-                t = (bound - a[axis]) / (b[axis] - a[axis])
-                cross = [a[0] + (b[0] - a[0]) * t, a[1] + (b[1] - a[1]) * t]
-                cross[axis] = bound
-                if ok(a):
-                    out.append(a)
-                out.append((cross[0], cross[1]))
-            elif ok(a):
-                out.append(a)
-        ring = [p for k, p in enumerate(out) if p != out[k - 1]] if len(out) > 1 else []
-        if not ring:
-            return []
+        depth = [(p[axis] - bound) * sign for p in ring]
+        if min(depth, default=0.0) < 0:
+            for k, p in enumerate(ring):
+                q, before = ring[k - 1], depth[k - 1]
+                if (before < 0) != (depth[k] < 0) and before and depth[k]:
+                    t = before / (before - depth[k])
+                    other = q[1 - axis] + (p[1 - axis] - q[1 - axis]) * t
+                    out.append((bound, other) if axis == 0 else (other, bound))
+                if depth[k] >= 0:
+                    out.append(p)
+            ring = [p for k, p in enumerate(out) if p != out[k - 1]] if len(out) > 1 else []
     return list(ring)
 
 
+def slabs(rings: Sequence[Sequence[Point]], axis: int, first: int, last: int, fan: int = 8) -> Iterator[tuple[int, list[Sequence[Point]]]]:
+    """What is left of a polygon in each unit band first ... last of an axis, its outer ring first: wide bands are cut to narrower ones, `fan` at a time."""
+    if first == last:
+        yield first, list(rings)
+        return
+    step = -(-(last - first + 1) // fan)
+    for low in range(first, last + 1, step):
+        high = min(low + step - 1, last)
+        outer = clip_to_band(rings[0], axis, low, high + 1)
+        if outer:
+            yield from slabs([outer, *filter(None, (clip_to_band(r, axis, low, high + 1) for r in rings[1:]))], axis, low, high, fan)
+
+
 def _around(p: Point, rect: Rect) -> float | None:
     """Place of a border point on the rectangle's outline, counter-clockwise from its lower left corner; None if not on it."""
     x0, y0, x1, y1 = rect
@@ -114,7 +133,7 @@ def clip_polygon(rings: Sequence[Sequence[Point]], rect: Rect) -> list[list[list
             continue
         if (area(ring) > 0) != (number == 0):
             ring.reverse()
-        flat = clip_ring_simple(ring, rect)
+        flat = clip_to_band(clip_to_band(ring, 0, x0, x1), 1, y0, y1)
         if not flat or abs(area(flat)) < 1e-12 * (x1 - x0) * (y1 - y0):
             continue
         # Walk the simple clip: runs along the border are cut out, the rest are pieces inside.
@@ -175,42 +194,33 @@ def canonical(ring: Sequence[Point]) -> list[Point]:
 
 
 def tile_polygon(rings: Sequence[Sequence[Point]], extent: int, least_area: float = 0.0) -> list[tuple[tuple[int, int], list[list[tuple[int, int]]], list[list[bool]]]]:
-    """((tx, ty), rings, clip flags) for each tile that a polygon in tile units meets: the larger axis is halved until one tile is left, so that each half works on what is left of the rings."""
+    """((tx, ty), rings, clip flags) for each tile that a polygon in tile units meets: cut to columns, columns to tiles, and each tile exactly. Pieces whose box is under least_area go."""
     out = []
-
-    def split(rings_: Sequence[Sequence[Point]], tx0: int, ty0: int, tx1: int, ty1: int) -> None:
-        if not rings_ or not rings_[0]:
-            return
-        if (tx0, ty0) == (tx1, ty1):
-            for polygon in clip_polygon(rings_, (tx0, ty0, tx0 + 1, ty0 + 1)):
-                local, flags = [], []
-                for ring in polygon:
-                    q = [(min(max(round((x - tx0) * extent), 0), extent), min(max(round((y - ty0) * extent), 0), extent)) for x, y in ring]
-                    q = [p for k, p in enumerate(q) if p != q[k - 1]]
-                    if len(q) >= 3 and area(q):
-                        q = canonical(q)
-                        local.append(q)
-                        flags.append([p[0] in (0, extent) or p[1] in (0, extent) for p in q])
-                    elif not local:
-                        break
-                if local and (max(p[0] for p in local[0]) - min(p[0] for p in local[0])) * (max(p[1] for p in local[0]) - min(p[1] for p in local[0])) >= least_area:
-                    out.append(((tx0, ty0), local, flags))
-            return
-        if tx1 - tx0 >= ty1 - ty0:
-            mid = (tx0 + tx1) // 2
-            parts = ((tx0, ty0, mid, ty1), (mid + 1, ty0, tx1, ty1))
-        else:
-            mid = (ty0 + ty1) // 2
-            parts = ((tx0, ty0, tx1, mid), (tx0, mid + 1, tx1, ty1))
-        for a, b, c, d in parts:
-            less = rings_ if (a, b) == (c, d) else [r for r in (clip_ring_simple(ring, (a, b, c + 1, d + 1)) for ring in rings_[:1]) if r] and [clip_ring_simple(ring, (a, b, c + 1, d + 1)) for ring in rings_]
-            split([r for r in less if r] if less else [], a, b, c, d)
-
-    xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
-    split(rings, math.floor(min(xs)), math.floor(min(ys)), math.floor(max(xs)), math.floor(max(ys)))
+    for tx, column in slabs(rings, 0, *_span(rings[0], 0)):
+        for ty, part in slabs(column, 1, *_span(column[0], 1)):
+            for polygon in clip_polygon(part, (tx, ty, tx + 1, ty + 1)):
+                local = _quantized(polygon, tx, ty, extent)
+                if local:
+                    xs, ys = zip(*local[0], strict=True)
+                    if (max(xs) - min(xs)) * (max(ys) - min(ys)) >= least_area:
+                        out.append(((tx, ty), local, [[p[0] in (0, extent) or p[1] in (0, extent) for p in q] for q in local]))
     return out
 
 
+def _span(ring: Sequence[Point], axis: int) -> tuple[int, int]:
+    values = [p[axis] for p in ring]
+    return math.floor(min(values)), math.floor(max(values))
+
+
+def _quantized(polygon: Sequence[Sequence[Point]], tx: int, ty: int, extent: int) -> list[list[tuple[int, int]]]:
+    """A polygon of a tile in its units, without rings that have no area there; nothing if that is its outer ring."""
+    local = lambda v, t: min(max(round((v - t) * extent), 0), extent)
+    rings = [[(local(x, tx), local(y, ty)) for x, y in ring] for ring in polygon]
+    rings = [[p for k, p in enumerate(ring) if p != ring[k - 1]] for ring in rings]
+    kept = [len(ring) >= 3 and area(ring) != 0 for ring in rings]
+    return [canonical(ring) for ring, keep in zip(rings, kept, strict=True) if keep] if kept and kept[0] else []
+
+
 def union(polygons: Sequence[Sequence[Sequence[Point]]]) -> list[list[list[Point]]]:
     """Union of polygons with holes: the plane is cut into slabs at all vertices and crossings; each slab's covered stretches are traced into rings."""
     edges = [(a, b, k) for k, rings in enumerate(polygons) for ring in rings for a, b in zip(ring, [*ring[1:], *ring[:1]], strict=True) if a[1] != b[1]]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions import geometry as G
 from ..functions.kinds import AREAS, LABELS, POIS, ROADS
 from ..functions.mercator import EDGE, HALF
 from ..functions.tileid import archive_id_int
@@ -22,7 +23,6 @@ from ..kernels import areas as A
 from ..kernels import lines as L
 from ..kernels import tilecodec
 from .graph import components
-from .network import near_boxes
 from .storage import staged
 
 POINTS = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
@@ -81,30 +81,76 @@ def multipolygons(rings: DataFrame) -> DataFrame:
 
 
 def strokes(lines: DataFrame, group: str) -> DataFrame:
-    """lines: group, way_id, coords. Returns group, stroke, coords: lines of a group joined end to end, in order of way_id."""
-
-    def run(rows: list[dict]) -> Iterator[dict]:
+    """lines: group, way_id (unique in its group), coords. Returns group, stroke (the smallest way_id in it), coords: lines of a group joined end to end, directed as that way.
+
+    Ends meet on a grid of 0.1 m; a task sees the ends at one point, and later the lines of one stroke, never a whole network."""
+    lines = staged(lines.where("size(coords) >= 2").select(group, "way_id", "coords", F.monotonically_increasing_id().alias("line")), "lines")
+    at = lambda k: F.element_at("coords", k)
+    end = lambda side, p, q: F.struct(F.lit(side).alias("side"), F.round(p["x"] * 10).cast("bigint").alias("ex"), F.round(p["y"] * 10).cast("bigint").alias("ey"), (q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"))
+    ends = lines.select(group, "line", "way_id", F.explode(F.array(end(0, at(1), at(2)), end(1, at(-1), at(-2)))).alias("e")).select(group, "line", "way_id", "e.*")
+
+    def match(rows: list[dict]) -> Iterator[dict]:
+        rows = sorted(rows, key=lambda r: (r["way_id"], r["side"]))
+        lengths = [math.hypot(r["dx"], r["dy"]) or 1.0 for r in rows]
+        for a, b in L.end_pairs([(r["line"], r["side"], r["dx"] / n, r["dy"] / n) for r, n in zip(rows, lengths, strict=True)]).items():
+            yield {"line": a[0], "side": a[1], "other": b[0], "other_side": b[1]}
+
+    pairs = staged(grouped(ends, [group, "ex", "ey"], "line BIGINT, side INT, other BIGINT, other_side INT", match), "pairs")
+    label = components(pairs, "line", "other").select(F.col("node").alias("line"), "label")
+    links = pairs.groupBy("line").agg(F.collect_list(F.struct("side", "other", "other_side")).alias("links"))  # two at most
+    together = lines.join(label, "line", "left").join(links, "line", "left").withColumn("label", F.coalesce("label", "line"))
+
+    def chain(rows: list[dict]) -> Iterator[dict]:
         rows = sorted(rows, key=lambda r: r["way_id"])
-        for k, line in enumerate(L.chain_strokes([_pairs(r["coords"]) for r in rows])):
-            yield {group: rows[0][group], "stroke": k, "coords": _xy(line)}
-
-    return grouped(lines, [group], f"{group} BIGINT, stroke INT, coords {POINTS}", run)
+        number = {r["line"]: k for k, r in enumerate(rows)}
+        partner = {(k, x["side"]): (number[x["other"]], x["other_side"]) for k, r in enumerate(rows) for x in r["links"] or ()}
+        points = [_pairs(r["coords"]) for r in rows]
+        for pieces, _ in L.chains(len(rows), partner):
+            yield {group: rows[0][group], "stroke": rows[min(k for k, _ in pieces)]["way_id"], "coords": _xy(L.joined(points, pieces))}
+
+    return grouped(together, ["label"], f"{group} BIGINT, stroke BIGINT, coords {POINTS}", chain)
+
+
+def parallel_edges(lines: DataFrame, near: float, share: float) -> DataFrame:
+    """lines: id, coords, staged. Returns id, longer: lines of which `share` or more of up to 64 evenly spaced vertices are within `near` of a longer line (of equal ones the one with the smaller id).
+
+    Vertices meet segments in cells of 2 * near; segments are cut to parts of a cell at most, which are listed in the cells
+    that they, widened by `near`, can meet. No pair of lines is formed that doesn't run near one another."""
+    cell = 2 * near
+    n = F.size("coords")
+    measured = lines.where(n >= 2).withColumns({"length": G.ground_length(F.col("coords")), "n": F.greatest(F.lit(2), F.least(F.lit(64), n))})
+    floor = lambda v: F.floor(v / cell)
+    # vertex k of n stands at k * (size - 1) / (n - 1), rounded half to even
+    picked = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.get("coords", F.bround(k * (n - 1) / (F.col("n") - 1)).cast("int")))
+    vertices = measured.select("id", "length", "n", F.posexplode(picked).alias("k", "p")).select("id", "length", "n", "k", F.col("p.x").alias("px"), F.col("p.y").alias("py")).withColumns({"cx": floor(F.col("px")), "cy": floor(F.col("py"))})
+    pair = F.zip_with(F.slice("coords", F.lit(1), n - 1), F.slice("coords", F.lit(2), n - 1), lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))
+    parts = measured.select(F.col("id").alias("longer"), F.col("length").alias("longer_length"), F.explode(pair).alias("s")).select("longer", "longer_length", "s.*")
+    parts = parts.withColumn("m", F.greatest(F.lit(1), F.ceil(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))) / cell)).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    along = lambda v, j: F.col(f"a{v}") + (F.col(f"b{v}") - F.col(f"a{v}")) * j / F.col("m")
+    parts = parts.select("longer", "longer_length", *(along(v, F.col("j") + k).alias(f"{e}{v}") for k, e in ((0, "a"), (1, "b")) for v in "xy"))
+    span = lambda v: F.sequence(floor(F.least(f"a{v}", f"b{v}") - near), floor(F.greatest(f"a{v}", f"b{v}") + near))
+    parts = parts.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
+    after = (F.col("length") < F.col("longer_length")) | ((F.col("length") == F.col("longer_length")) & (F.col("id") > F.col("longer")))
+    close = G.segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by"))) <= near
+    met = vertices.join(parts, ["cx", "cy"]).where(after & close).select("id", "longer", "n", "k").distinct()
+    return met.groupBy("id", "longer", "n").agg(F.count("*").alias("met")).where(F.col("met") >= share * F.col("n")).select("id", "longer")
 
 
 def without_parallels(lines: DataFrame, near: float = 150.0, share: float = 0.6) -> DataFrame:
-    """lines: id, coords. Returns those that stay when the longest drop the ones that run along them. Lines whose boxes are near form components, each decided in one group."""
-    lines = staged(lines.select("id", "coords"), "lines")
-    xs, ys = F.transform("coords", lambda p: p["x"]), F.transform("coords", lambda p: p["y"])
-    boxes = staged(lines.select("id", F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y")), "boxes")
-    label = components(near_boxes(boxes, near, 10 * near))
+    """lines: id, coords. Returns those that stay when the longest drop the ones that run along them.
 
-    def run(rows: list[dict]) -> Iterator[dict]:
-        rows = sorted(rows, key=lambda r: r["id"])
-        for k in L.drop_parallel([_pairs(r["coords"]) for r in rows], near, share):
-            yield {"id": rows[k]["id"], "coords": rows[k]["coords"]}
-
-    together = lines.join(label, F.col("id") == F.col("node"), "left").select("id", "coords", F.coalesce("label", "id").alias("group"))
-    return grouped(together, ["group"], f"id BIGINT, coords {POINTS}", run)
+    In each round lines stay of which no longer one is undecided, and lines go of which a longer one stays; a round decides the longest undecided lines at least, and lines that nothing runs along never take part."""
+    lines = staged(lines.select("id", "coords"), "lines")
+    edges = staged(parallel_edges(lines, near, share), "edges")
+    dropped = None
+    open_ = edges
+    while open_.limit(1).count():
+        stay = staged(open_.select(F.col("longer").alias("id")).distinct().join(open_.select("id"), "id", "left_anti"), "stay")
+        gone = staged(open_.join(stay.select(F.col("id").alias("longer")), "longer", "left_semi").select("id").distinct(), "gone")
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        rest = open_.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("longer")), "longer", "left_anti")
+        open_ = staged(rest.select("id", "longer"), "open")
+    return (lines if dropped is None else lines.join(dropped, "id", "left_anti")).where("size(coords) >= 2")
 
 
 def simplified(lines: DataFrame, eps: float) -> DataFrame:
@@ -257,12 +303,13 @@ def decoded(tiles: DataFrame) -> DataFrame:
 
 
 def welded(roads: DataFrame, scene: str, tolerance: float) -> DataFrame:
-    """roads: scene, kind, id, coords, lanes_fwd, lanes_bwd, start, end, layer, name, structure; pieces of a kind joined at their cuts, in order of id."""
-    fields = f"{scene} BIGINT, kind INT, id BIGINT, coords {POINTS}, lanes_fwd INT, lanes_bwd INT, start INT, `end` INT, layer INT, name STRING, structure INT"
+    """roads: scene, kind, id, coords, lanes_fwd, lanes_bwd, start, end, layer, name, structure; pieces of a kind joined where ends meet, in order of id. Lanes come back by vertex. A group is a kind in one scene, which a viewport bounds."""
+    lanes = "ARRAY<STRUCT<fwd: INT, bwd: INT>>"
+    fields = f"{scene} BIGINT, kind INT, id BIGINT, coords {POINTS}, lanes {lanes}, start INT, `end` INT, layer INT, name STRING, structure INT"
 
     def run(rows: list[dict]) -> Iterator[dict]:
         rows = sorted(rows, key=lambda r: r["id"])
-        for r in L.weld([{**r, "coords": _pairs(r["coords"])} for r in rows], tolerance):
-            yield {**r, "coords": _xy(r["coords"])}
+        for r in L.weld([{**r, "coords": _pairs(r["coords"]), "lanes": [(r["lanes_fwd"], r["lanes_bwd"])] * len(r["coords"])} for r in rows], tolerance):
+            yield {**{k: r[k] for k in (scene, "kind", "id", "start", "end", "layer", "name", "structure")}, "coords": _xy(r["coords"]), "lanes": [{"fwd": f, "bwd": b} for f, b in r["lanes"]]}
 
     return grouped(roads.select(scene, "kind", "id", "coords", "lanes_fwd", "lanes_bwd", "start", "end", "layer", "name", "structure"), [scene, "kind"], fields, run)

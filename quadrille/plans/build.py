@@ -14,7 +14,6 @@ from ..functions.kinds import ZOOMS
 from ..kernels.pmtiles import Header
 from ..operators import network as N
 from ..operators import shapes as S
-from ..operators.graph import components
 from ..operators.storage import new_path, reused, staged
 from ..sources import register
 from ..sources.pmtiles import write_archive
@@ -142,7 +141,7 @@ FEATURES = (
 
 
 def feature_roads(nodes: DataFrame, ways: DataFrame, relations: DataFrame, features: tuple[RelationFeature, ...] = FEATURES) -> DataFrame:
-    """All features share one scan of relations, one of ways and one of nodes. Lines that meet end to end form a group, whichever relation they come from, and are joined to strokes in it."""
+    """All features share one scan of relations, one of ways and one of nodes. Lines of a feature that meet end to end are joined to strokes, whichever relation they come from; a stroke's id is its smallest way's, with the feature in the last four bits."""
     t = F.col("tags")
     which = F.array_compact(F.array(*(F.when(f.claims(t), f.kind) for f in features)))
     claimed = staged(relations.withColumn("feature", F.explode(which)).select("id", "members", "feature"), "claimed")
@@ -155,14 +154,9 @@ def feature_roads(nodes: DataFrame, ways: DataFrame, relations: DataFrame, featu
         one = N.with_any(one, "rel_id", F.col("kind").isin(*f.needs)) if f.needs else one
         chosen = one if chosen is None else chosen.unionByName(one)
     chosen = chosen.select("feature", "way_id", "refs").dropDuplicates(["feature", "way_id"])
-    chosen = staged(chosen.withColumn("key", F.struct("feature", "way_id")), "chosen")
+    chosen = staged(chosen.withColumn("feature", F.col("feature").cast("bigint")).withColumn("key", F.struct("feature", "way_id")), "chosen")
     lines = vertices(chosen.select("key", F.posexplode("refs").alias("pos", "node_id")), nodes, "key").select("key.*", F.col("points").alias("coords")).where("size(coords) >= 2")
-    ends = lines.select("feature", "way_id", F.explode(F.array(F.get("coords", F.lit(0)), F.element_at("coords", -1))).alias("p")).select("feature", "way_id", F.round(F.col("p.x") * 10).alias("ex"), F.round(F.col("p.y") * 10).alias("ey"))
-    hubs = ends.groupBy("feature", "ex", "ey").agg(F.min("way_id").alias("hub"))
-    label = components(ends.join(hubs, ["feature", "ex", "ey"]).select((F.col("way_id") * 16 + F.col("feature")).alias("a"), (F.col("hub") * 16 + F.col("feature")).alias("b")))
-    own = F.col("way_id") * 16 + F.col("feature")
-    together = lines.join(label, own == F.col("node"), "left").withColumn("group", F.coalesce("label", own)).select("group", "way_id", "coords")
-    chained = staged(S.strokes(together, "group").select((F.col("group") * 4096 + F.col("stroke")).alias("id"), "coords", (F.col("group") % 16).alias("feature")), "strokes")
+    chained = staged(S.strokes(lines, "feature").select((F.col("stroke") * 16 + F.col("feature")).alias("id"), "coords", "feature"), "strokes")
     out = None
     for f in features:
         one = chained.where(F.col("feature") == f.kind)

@@ -34,13 +34,18 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FRAGMENTS = "f AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)"
 
 
-@query(f"WITH {_FRAGMENTS} SELECT o_custkey AS rel_id, n + 1 AS vertices, 1::BIGINT AS rings FROM f GROUP BY o_custkey, n HAVING n >= 3")
+@query(f"WITH {_FRAGMENTS}, g AS (SELECT *, n >= 6 AND n % 3 = 0 AS two FROM f) SELECT o_custkey AS rel_id, CASE WHEN two THEN n + 2 ELSE n + 1 END AS vertices, CASE WHEN two THEN 2 ELSE 1 END::BIGINT AS rings FROM g GROUP BY o_custkey, n, two HAVING two OR (n >= 3 AND n % 4 <> 0)")
 def assemble_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fragments(spark, sf_dir)
-    ahead = F.array(c("k"), (c("k") + 1) % c("n")).cast("array<bigint>")
+    """A customer's orders as sides of a ring, mixed and turned; of every third two rings that share a node, of every fourth a ring with a side missing."""
+    f = fragments(spark, sf_dir).withColumn("two", (c("n") >= 6) & (c("n") % 3 == 0)).withColumn("half", F.floor(c("n") / 2))
+    f = f.where(c("two") | (c("n") % 4 != 0) | (c("k") != 1))
+    one = F.array(c("k"), (c("k") + 1) % c("n"))
+    first = F.array(c("k"), (c("k") + 1) % c("half"))
+    second = F.array(F.when(c("k") == c("half"), 0).otherwise(c("k")), (c("k") + 1) % c("n"))
+    ahead = F.when(~c("two"), one).when(c("k") < c("half"), first).otherwise(second).cast("array<bigint>")
     refs = F.when(c("o_orderkey") % 2 == 0, ahead).otherwise(F.reverse(ahead))
     rings = S.rings_of(f.select(c("o_custkey").alias("rel_id"), lit(False).alias("is_hole"), F.pmod(c("k") * 7919, 1009).alias("pos"), refs.alias("refs")))
-    return rings.where("size(refs) >= 4").groupBy("rel_id").agg(F.sum(F.size("refs")).alias("vertices"), F.count("*").alias("rings"))
+    return rings.groupBy("rel_id").agg(F.sum(F.size("refs")).alias("vertices"), F.count("*").alias("rings"))
 
 
 @query(f"WITH {_FRAGMENTS} SELECT o_custkey AS rel_id, (n + 1) // 2 AS polygons, n // 2 AS holes FROM f GROUP BY o_custkey, n")
@@ -53,12 +58,25 @@ def hole_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("rel_id").agg(F.count("*").alias("polygons"), F.sum(F.size("rings") - 1).alias("holes"))
 
 
-@query(f"WITH {_FRAGMENTS} SELECT o_custkey AS custkey, n + 1 AS vertices FROM f GROUP BY o_custkey, n")
+_STROKES = f"""
+WITH {_FRAGMENTS}, g AS (SELECT *, o_orderkey % 7 = 3 AS gap, o_orderkey % 5 = 0 AS branch, o_orderkey % 11 = 0 AS slip FROM f),
+i AS (SELECT o_custkey, k, k - row_number() OVER (PARTITION BY o_custkey ORDER BY k) AS island FROM g WHERE NOT gap),
+j AS (SELECT o_custkey, count(*) AS m, min(k) AS a, max(k) + 1 AS b FROM i GROUP BY o_custkey, island)
+SELECT j.o_custkey AS custkey, m + 1 + coalesce(slip, false)::INT AS vertices, (a * 10)::DOUBLE AS x0, ((b + coalesce(slip, false)::INT) * 10)::DOUBLE AS x1 FROM j LEFT JOIN g ON g.o_custkey = j.o_custkey AND g.k = j.b
+UNION ALL SELECT o_custkey, 2, (k * 10)::DOUBLE, (k * 10)::DOUBLE FROM g WHERE branch
+UNION ALL SELECT g.o_custkey, 2, (g.k * 10)::DOUBLE, (g.k * 10 + 10)::DOUBLE FROM g LEFT JOIN g p ON p.o_custkey = g.o_custkey AND p.k = g.k - 1 WHERE g.slip AND NOT (g.gap AND coalesce(NOT p.gap, false))"""
+
+
+@query(_STROKES)
 def merge_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fragments(spark, sf_dir)
-    line = F.array(point(c("k") * 10, c("k")), point(c("k") * 10 + 10, c("k") + 1))
-    lines = f.select(c("o_custkey").alias("custkey"), c("o_orderkey").alias("way_id"), F.when(c("o_orderkey") % 2 == 0, line).otherwise(F.reverse(line)).alias("coords"))
-    return S.strokes(lines, "custkey").select("custkey", F.size("coords").cast("bigint").alias("vertices"))
+    """Chains with gaps, turned pieces, steep branches that stay apart, and slip roads that only go on a chain where its own next piece is missing."""
+    f, o = fragments(spark, sf_dir), c("o_orderkey")
+    line = lambda dx, dy: F.array(point(c("k") * 10, c("k")), point(c("k") * 10 + dx, c("k") + dy))
+    pieces = F.array_compact(F.array(F.when(o % 7 != 3, line(10, 1)), F.when(o % 5 == 0, line(0, 50)), F.when(o % 11 == 0, line(10, 6))))
+    lines = f.select(c("o_custkey").alias("custkey"), o, F.posexplode(pieces).alias("j", "line"))
+    lines = lines.select("custkey", (o * 4 + c("j")).alias("way_id"), F.when(o % 2 == 0, c("line")).otherwise(F.reverse("line")).alias("coords"))
+    x0, x1 = F.get("coords", lit(0))["x"], F.element_at("coords", -1)["x"]
+    return S.strokes(lines, "custkey").select("custkey", F.size("coords").cast("bigint").alias("vertices"), F.least(x0, x1).alias("x0"), F.greatest(x0, x1).alias("x1"))
 
 
 @query("SELECT p_partkey - p_partkey % 4 + arg_max(p_partkey % 4, (p_partkey % 4 * 7 + 3) % 4) AS id FROM part GROUP BY p_partkey - p_partkey % 4")
@@ -70,37 +88,57 @@ def dedup_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.without_parallels(p.select("id", line.alias("coords"))).select("id")
 
 
-@query(f"WITH {_FRAGMENTS} SELECT o_custkey AS scene, n + 1 AS vertices, 1 AS start, 1 AS \"end\" FROM f GROUP BY o_custkey, n")
-def weld_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = fragments(spark, sf_dir)
-    line = F.array(point(c("k") * 100, lit(0)), point(c("k") * 100 + 100, lit(0)))
-    state = lambda at_end: F.when(at_end, 1).otherwise(2)
-    roads = f.select(c("o_custkey").alias("scene"), lit(0).alias("kind"), c("o_orderkey").alias("id"), line.alias("coords"), lit(1).alias("lanes_fwd"), lit(1).alias("lanes_bwd"), state(c("k") == 0).alias("start"), state(c("k") == c("n") - 1).alias("end"), lit(0).alias("layer"), lit(None).cast("string").alias("name"), lit(0).alias("structure"))
-    return S.welded(roads, "scene", 8.0).select("scene", F.size("coords").cast("bigint").alias("vertices"), "start", "end")
+_WELDED = f"""
+WITH {_FRAGMENTS}, g AS (SELECT *, o_orderkey % 2 = 0 AS rev, o_orderkey % 3 = 0 AS gap, o_orderkey % 13 = 0 AS wide, k >= 1 AND o_orderkey % 5 = 0 AS crossed FROM f),
+s AS (SELECT *, coalesce(sum(wide::INT) OVER (PARTITION BY o_custkey ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM g),
+t AS (SELECT *, first_value(rev) OVER w AS turned, lead(k) OVER w IS NOT NULL AND NOT gap AS after, coalesce(NOT lag(gap) OVER w, false) AS before FROM s WINDOW w AS (PARTITION BY o_custkey, seg ORDER BY k)),
+u AS (SELECT o_custkey, seg, 2 - CASE WHEN turned THEN after ELSE before END::INT AS vertices, CASE WHEN turned THEN 1 ELSE 1 + k % 3 END AS f, CASE WHEN turned THEN 1 + k % 3 ELSE 1 END AS b FROM t)
+SELECT o_custkey AS scene, sum(vertices)::BIGINT AS vertices, sum(vertices * f)::BIGINT AS fwd, sum(vertices * b)::BIGINT AS bwd FROM u GROUP BY o_custkey, seg
+UNION ALL SELECT o_custkey, 3, 6, 3 FROM g WHERE crossed"""
 
 
-def zigzags(spark: SparkSession, sf_dir: str, flags: F.Column) -> DataFrame:
-    """A line of 12 vertices whose every third one stands out by the part's size."""
-    j = F.sequence(lit(0), lit(11))
-    line = F.transform(j, lambda k: point(k * 10, F.when(k % 3 == 1, c("p_size") / 50).otherwise(0)))
+@query(_WELDED)
+def weld_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads whose ends are all connected: turned pieces, lanes that change, gaps under and over the tolerance, and roads that cross them."""
+    f, o = fragments(spark, sf_dir), c("o_orderkey")
+    short = F.when(o % 13 == 0, 40).when(o % 3 == 0, 5).otherwise(0)
+    ahead = F.array(point(c("k") * 100, lit(0)), point(c("k") * 100 + 100 - short, lit(0)))
+    more, one = (c("k") % 3 + 1).cast("int"), lit(1)
+    road = lambda j, coords, fwd, bwd: F.struct(lit(j).alias("j"), coords.alias("coords"), fwd.alias("lanes_fwd"), bwd.alias("lanes_bwd"))
+    along = F.when(o % 2 == 0, road(0, F.reverse(ahead), one, more)).otherwise(road(0, ahead, more, one))
+    up = lambda j, y: F.when((c("k") >= 1) & (o % 5 == 0), road(j, F.array(point(c("k") * 100, lit(y)), point(c("k") * 100, lit(y + 100))), lit(2), one))
+    roads = f.select(c("o_custkey").alias("scene"), o, F.explode(F.array_compact(F.array(along, up(1, -100), up(2, 0)))).alias("r"))
+    roads = roads.select("scene", lit(0).alias("kind"), (o * 4 + c("r.j")).alias("id"), "r.coords", "r.lanes_fwd", "r.lanes_bwd", lit(1).alias("start"), lit(1).alias("end"), lit(0).alias("layer"), lit(None).cast("string").alias("name"), lit(0).alias("structure"))
+    total = lambda side: F.aggregate("lanes", lit(0).cast("bigint"), lambda s, v: s + v[side])
+    return S.welded(roads, "scene", 8.0).select("scene", F.size("coords").cast("bigint").alias("vertices"), total("fwd").alias("fwd"), total("bwd").alias("bwd"))
+
+
+def spiked(spark: SparkSession, sf_dir: str, flags: F.Column) -> DataFrame:
+    """A line of 12 vertices, every third one a little out by the part's size, with a spike at the third of every third part and at the seventh of every second."""
+    low = F.col("p_size") % 51 / 50
+    spike = lambda k: (k == 2) & (c("p_partkey") % 3 == 0) | (k == 6) & (c("p_partkey") % 2 == 0)
+    line = F.transform(F.sequence(lit(0), lit(11)), lambda k: point(k * 10, F.when(spike(k), 40.0).when(k % 3 == 1, low).otherwise(0.0)))
     return table(spark, sf_dir, "part").select(c("p_partkey").alias("way_id"), line.alias("coords"), flags.alias("junctions"))
 
 
-@query("SELECT p_partkey AS way_id, 2::BIGINT AS vertices FROM part WHERE p_size <= 50")
+def _left(lines: DataFrame) -> DataFrame:
+    heights = F.aggregate("coords", lit(0.0), lambda s, p: s + p["y"])
+    return S.simplified(lines, 10.0).select("way_id", F.size("coords").cast("bigint").alias("vertices"), F.round(heights, 4).alias("heights"))
+
+
+_SPIKES = "p AS (SELECT p_partkey AS way_id, (p_partkey % 3 = 0)::INT AS a, (p_partkey % 2 = 0)::INT AS b, p_size % 51 / 50::DOUBLE AS low FROM part)"
+
+
+@query(f"WITH {_SPIKES} SELECT way_id, 2 + 3 * (a + b)::BIGINT AS vertices, round((a + b) * (40 + low), 4) AS heights FROM p")
 def simplify_vw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines without a triangle of 100 keep their ends only."""
-    done = S.simplified(zigzags(spark, sf_dir, F.array().cast("array<boolean>")), 10.0)
-    flat = table(spark, sf_dir, "part").where("p_size <= 50").select(c("p_partkey").alias("way_id"))
-    return done.join(flat, "way_id", "left_semi").select("way_id", F.size("coords").cast("bigint").alias("vertices"))
+    """A spike of 40 stays with its two neighbours; small steps go."""
+    return _left(spiked(spark, sf_dir, F.array().cast("array<boolean>")))
 
 
-@query("SELECT p_partkey AS way_id, 6::BIGINT AS vertices FROM part WHERE p_size <= 50")
+@query(f"WITH {_SPIKES} SELECT way_id, 6 + 2 * (a + b)::BIGINT AS vertices, round((a + b) * (40 + low) + low, 4) AS heights FROM p")
 def simplify_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with four junctions, which stay."""
-    flags = F.transform(F.sequence(lit(0), lit(11)), lambda k: k.isin(2, 4, 5, 8))
-    done = S.simplified(zigzags(spark, sf_dir, flags), 10.0)
-    flat = table(spark, sf_dir, "part").where("p_size <= 50").select(c("p_partkey").alias("way_id"))
-    return done.join(flat, "way_id", "left_semi").select("way_id", F.size("coords").cast("bigint").alias("vertices"))
+    return _left(spiked(spark, sf_dir, F.transform(F.sequence(lit(0), lit(11)), lambda k: k.isin(2, 4, 5, 8))))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,17 +147,58 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("id", F.array(square(c("id") % 50 * 2000, F.floor(c("id") / 50) * 2000, lit(3000))).alias("rings"))
 
 
-@query("SELECT p_partkey AS id, round(9.0::DOUBLE, 3) AS area FROM part")
+_R = "(pi() * 6378137.0::DOUBLE)"
+#: Squares in tile units of zoom 14, and the tiles that each meets: how many units of its sides lie in them.
+_TILED = f"""
+q AS (SELECT p_partkey AS id, p_partkey % 50 * 2000 + 15000000.0::DOUBLE AS mx, p_partkey // 50 * 2000 + 4000000.0::DOUBLE AS my FROM part),
+sq AS (SELECT id, (mx + {_R}) / (2 * {_R}) * 16384 AS x0, (mx + 3000 + {_R}) / (2 * {_R}) * 16384 AS x1, ({_R} - my - 3000) / (2 * {_R}) * 16384 AS y0, ({_R} - my) / (2 * {_R}) * 16384 AS y1 FROM q),
+col AS (SELECT *, unnest(range(floor(x0)::BIGINT, floor(x1)::BIGINT + 1)) AS tx FROM sq),
+tiled AS (SELECT *, round((least(x1, tx + 1) - tx) * 8192)::BIGINT - round((greatest(x0, tx) - tx) * 8192)::BIGINT AS w, round((least(y1, ty + 1) - ty) * 8192)::BIGINT - round((greatest(y0, ty) - ty) * 8192)::BIGINT AS h
+  FROM (SELECT *, unnest(range(floor(y0)::BIGINT, floor(y1)::BIGINT + 1)) AS ty FROM col))"""
+
+
+def placed_blocks(spark: SparkSession, sf_dir: str, rings: F.Column, shape: str, **values: F.Column) -> DataFrame:
+    """The squares far from the grid's lines, as shapes for the tiler."""
+    columns = {"id": c("id"), "kind": lit(0), "layer": lit(0), "floors": lit(0), "lanes_fwd": lit(0), "lanes_bwd": lit(0), "structure": lit(0), "start": lit(1), "end": lit(1), "name": lit(None).cast("string"), "rings": rings, "junctions": F.array().cast("array<boolean>"), "aggregated": lit(False)}
+    return blocks(spark, sf_dir).select(lit(shape).alias("shape"), *(v.alias(k) for k, v in (columns | values).items()))
+
+
+def shifted(ring: F.Column) -> F.Column:
+    return F.transform(ring, lambda p: point(p["x"] + 15_000_000, p["y"] + 4_000_000))
+
+
+def base_records(shapes: DataFrame) -> DataFrame:
+    return S.records(shapes, (14,), extent=8192, simplify_px=0.0, render_px=100_000, agg_max_zoom=0, road_agg_max_zoom=0)
+
+
+@query(f"WITH {_TILED} SELECT id, tx::INT AS tx, ty::INT AS ty, (w * h)::DOUBLE AS area FROM tiled WHERE w > 0 AND h > 0")
 def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A polygon's pieces in the tiles of a grid have its area together."""
-    shift = F.transform("rings", lambda r: F.transform(r, lambda p: point(p["x"] + 15_000_000, p["y"] + 4_000_000)))
-    defaults = {"kind": 0, "layer": 0, "floors": 0, "lanes_fwd": 0, "lanes_bwd": 0, "structure": 0, "start": 1, "end": 1}
-    s = blocks(spark, sf_dir).select(lit("area").alias("shape"), "id", *(lit(v).alias(k) for k, v in defaults.items()), lit(None).cast("string").alias("name"), shift.alias("rings"), F.array().cast("array<boolean>").alias("junctions"), lit(False).alias("aggregated"))
-    r = S.records(s, (14,), extent=8192, simplify_px=0.0, render_px=100_000, agg_max_zoom=0, road_agg_max_zoom=0)
+    """A polygon's piece in each tile, by its area in tile units."""
+    from ..functions.geometry import ring_area
+
+    r = base_records(placed_blocks(spark, sf_dir, F.transform("rings", shifted), "area"))
+    return r.groupBy("id", "tx", "ty").agg(F.sum(ring_area(F.get("coords", lit(0)))).alias("area"))
+
+
+@query(f"""WITH {_TILED}
+SELECT 'road' AS shape, tx::INT AS tx, ty::INT AS ty, 'road ' || id AS name, w::DOUBLE AS size, (id % 4 + 1) * 10 + id % 3 + 1 AS lanes, id % 5 - 2 AS layer, CASE WHEN tx > floor(x0) THEN 2 ELSE 1 END AS "start", CASE WHEN tx < floor(x1) THEN 2 ELSE 0 END AS "end", 0::BIGINT AS flags FROM tiled WHERE ty = floor(y1)
+UNION ALL SELECT 'area', tx::INT, ty::INT, NULL, sum(w * h)::DOUBLE, 0, (id % 5 - 2) AS layer, 0, 0,
+  sum(((tx > floor(x0))::INT + (ty > floor(y0))::INT > 0)::INT + ((tx > floor(x0))::INT + (ty < floor(y1))::INT > 0)::INT + ((tx < floor(x1))::INT + (ty > floor(y0))::INT > 0)::INT + ((tx < floor(x1))::INT + (ty < floor(y1))::INT > 0)::INT)::BIGINT FROM tiled GROUP BY tx, ty, id % 5""")
+def tile_shapes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roads and areas through a tile's payload: lengths, lanes, layers, states of ends, areas and the flags of vertices on a tile's border."""
     from ..functions.geometry import ring_area
 
-    unit = M.EDGE / (1 << 14) / 8192 / 1000
-    return r.groupBy("id").agg(F.round(F.sum(ring_area(F.get("coords", lit(0)))) * unit * unit, 2).alias("a")).select("id", F.when(F.abs(c("a") - 9) < 0.02, lit(9.0)).otherwise(c("a")).alias("area"))
+    corner = F.get("rings", lit(0))
+    side = F.array(shifted(F.slice(corner, 1, 2)))
+    layer = (c("id") % 5 - 2).cast("int")
+    roads = placed_blocks(spark, sf_dir, side, "road", layer=layer, lanes_fwd=(c("id") % 4 + 1).cast("int"), lanes_bwd=(c("id") % 3 + 1).cast("int"), end=lit(0), name=F.concat(lit("road "), c("id").cast("string")))
+    areas = placed_blocks(spark, sf_dir, F.transform("rings", shifted), "area", layer=layer)
+    d = S.decoded(S.payloads(base_records(roads.unionByName(areas)), 8192))
+    line = F.get("coords", lit(0))
+    r = d.where("shape = 'road'").select("shape", "tx", "ty", "name", F.abs(F.element_at(line, -1)["x"] - F.get(line, lit(0))["x"]).cast("double").alias("size"), (c("lanes_fwd") * 10 + c("lanes_bwd")).alias("lanes"), "layer", "start", "end", lit(0).cast("bigint").alias("flags"))
+    flags = F.size(F.filter(F.flatten("clip"), lambda x: x))
+    a = d.where("shape = 'area'").groupBy("shape", "tx", "ty", "layer").agg(F.sum(ring_area(line)).alias("size"), F.sum(flags).alias("flags"))
+    return r.unionByName(a.withColumns({"name": lit(None).cast("string"), "lanes": lit(0), "start": lit(0), "end": lit(0)}))
 
 
 @query("WITH b AS (SELECT p_partkey % 50 * 2 AS x, p_partkey // 50 * 2 AS y FROM part), cells AS (SELECT DISTINCT x + dx AS x, y + dy AS y FROM b, (SELECT unnest([0, 1, 2]) AS dx), (SELECT unnest([0, 1, 2]) AS dy)) SELECT count(*)::DOUBLE AS area FROM cells")
@@ -127,7 +206,7 @@ def water_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.geometry import ring_area
 
     u = S.united(blocks(spark, sf_dir), 10_000.0)
-    holes = F.aggregate(F.transform(F.slice("rings", 2, 1000), ring_area), lit(0.0), lambda s, v: s + v)
+    holes = F.aggregate(F.transform(F.slice("rings", lit(2), F.size("rings")), ring_area), lit(0.0), lambda s, v: s + v)
     return u.agg(F.round(F.sum(ring_area(F.get("rings", lit(0))) - holes) / 1e6, 3).alias("area"))
 
 

@@ -80,15 +80,16 @@ def scene(spark: SparkSession, path: str, camera: Camera, extent: int = M.EXTENT
     shown = shown.withColumn("rings", F.transform("coords", lambda ring: F.transform(ring, lift))).withColumn("scene", F.lit(0).cast("bigint"))
     pieces = shown.where("shape = 'road'").withColumn("coords", F.get("rings", F.lit(0))).withColumn("id", F.col("tile_id") * 65536 + F.col("id"))
     roads = S.welded(pieces, "scene", max(extent / 1024, 1.0)).withColumn("road", F.col("id"))
+    total = lambda v: v["fwd"] + v["bwd"]
     end = lambda side, p: F.struct(F.lit(side).alias("side"), p["x"].alias("x"), p["y"].alias("y"))
-    ends = roads.withColumn("e", F.explode(F.array(end(0, F.get("coords", F.lit(0))), end(1, F.element_at("coords", -1))))).select("kind", "road", F.col("e.side").alias("side"), F.col("e.x").alias("x"), F.col("e.y").alias("y"), (F.col("lanes_fwd") + F.col("lanes_bwd")).alias("lanes"))
+    ends = roads.withColumn("e", F.explode(F.array(end(0, F.get("coords", F.lit(0))), end(1, F.element_at("coords", -1))))).select("kind", "road", F.col("e.side").alias("side"), F.col("e.x").alias("x"), F.col("e.y").alias("y"), total(F.when(F.col("e.side") == 0, F.get("lanes", F.lit(0))).otherwise(F.element_at("lanes", -1))).alias("lanes"))
     blended = N.blend_widths(ends, max(extent // 1024, 1)).groupBy("road").pivot("side", [0, 1]).agg(F.first("blended"))
     roads = roads.join(blended.select("road", F.col("0").alias("lanes_start"), F.col("1").alias("lanes_end")), "road", "left").join(F.broadcast(dim.where("shape = 'road'").select("kind", "draw")), "kind")
     roads = N.painter_order(roads, ["scene"], ["layer", "draw", "kind", "road"])
     areas = N.painter_order(shown.where("shape = 'area'").withColumn("rings", F.transform("rings", lambda r: F.concat(r, F.slice(r, 1, 1)))), ["scene"], ["layer", "kind", "floors", "tile_id", "id"])
     points = shown.withColumn("at", F.get(F.get("rings", F.lit(0)), F.lit(0)))
     return {
-        "roads": roads.select("kind", "road", "coords", "layer", "name", "structure", "start", "end", "lanes_fwd", "lanes_bwd", "lanes_start", "lanes_end", "rank"),
+        "roads": roads.select("kind", "road", "coords", "layer", "name", "structure", "start", "end", "lanes", "lanes_start", "lanes_end", "rank"),
         "areas": areas.select("kind", "layer", "floors", "rings", "rank"),
         "labels": points.where("shape = 'label'").select("kind", "name", "at.x", "at.y", "draw"),
         "pois": points.where("shape = 'poi'").select("kind", "at.x", "at.y"),

@@ -110,26 +110,64 @@ def test_strokes_and_parallels():
     assert lines.drop_parallel([a[:10], [(x, 60.0) for x, _ in a], [(x, 2000.0) for x, _ in a]]) == [1, 2]
 
 
-def road(coords, start=2, end=2, lanes=(1, 1), layer=0):
-    return {"coords": coords, "start": start, "end": end, "lanes_fwd": lanes[0], "lanes_bwd": lanes[1], "layer": layer, "name": None, "structure": 0}
+DISCONNECTED, CONNECTED, CUT = 0, 1, 2
 
 
-def test_weld():
-    one = lines.weld([road([(0, 0), (10, 0)], start=1), road([(10, 0), (20, 0)], end=1)], 8)
-    assert len(one) == 1 and one[0]["coords"] == [(0, 0), (10, 0), (20, 0)] and (one[0]["start"], one[0]["end"]) == (1, 1)
-    assert lines.weld([road([(0, 0), (10, 0)])], 8)[0]["end"] == 2
-    (r,) = lines.weld([road([(0, 0), (100, 0)], start=1, lanes=(2, 1)), road([(200, 0), (100, 0)], start=1, lanes=(3, 4))], 8)
-    assert r["coords"] == [(0, 0), (100, 0), (200, 0)] and (r["lanes_fwd"], r["lanes_bwd"]) == (2, 1)
-    cross = [road([(0, 100), (100, 100)], 1), road([(100, 100), (200, 100)], 2, 1), road([(100, 0), (100, 100)], 1), road([(100, 100), (100, 200)], 2, 1)]
-    assert sorted(len(x["coords"]) for x in lines.weld(cross, 8)) == [3, 3]
-    assert len(lines.weld([road([(0, 0), (100, 0)], 1), road([(105, 0), (200, 0)], 2, 1)], 8)) == 1
-    assert len(lines.weld([road([(0, 0), (100, 0)], 1), road([(140, 0), (200, 0)], 2, 1)], 8)) == 2
-    assert lines.weld([road([(0, 0), (10, 0)], 1, 2, layer=1), road([(10, 0), (20, 0), (30, 0)], 2, 1, layer=0)], 8)[0]["layer"] == 0
+def road(coords, start=DISCONNECTED, end=DISCONNECTED, lanes=(1, 1), layer=0):
+    return {"coords": coords, "start": start, "end": end, "lanes": [lanes] * len(coords), "layer": layer, "name": None, "structure": 0}
+
+
+def test_weld_across_a_tile_edge():
+    (r,) = lines.weld([road([(4000, 50), (8192, 50)], DISCONNECTED, CUT), road([(8192, 50), (12000, 50)], CUT, DISCONNECTED)], 8)
+    assert r["coords"] == [(4000, 50), (8192, 50), (12000, 50)] and (r["start"], r["end"]) == (DISCONNECTED, DISCONNECTED)
+    (r,) = lines.weld([road([(0, 50), (8192, 50)], DISCONNECTED, CUT)], 8)
+    assert r["end"] == CUT
+
+
+def test_weld_keeps_lanes_by_vertex():
+    (r,) = lines.weld([road([(0, 0), (100, 0)], 0, 1, (2, 0)), road([(100, 0), (200, 0)], 1, 0, (3, 0))], 8)
+    assert r["coords"] == [(0, 0), (100, 0), (200, 0)] and [f + b for f, b in r["lanes"]] == [2, 2, 3]
+    (r,) = lines.weld([road([(0, 0), (100, 0)], 0, 1, (2, 1)), road([(200, 0), (100, 0)], 0, 1, (1, 2))], 8)
+    assert r["lanes"] == [(2, 1)] * 3 and r["coords"] == [(0, 0), (100, 0), (200, 0)]
+
+
+def test_weld_at_junctions_and_crossings():
+    through = lines.weld([road([(0, 0), (100, 0)], 0, 1), road([(100, 0), (200, 0)], 1, 0), road([(100, 0), (100, 100)], 1, 0)], 8)
+    assert sorted(len(r["coords"]) for r in through) == [2, 3] and [r["coords"] for r in through if len(r["coords"]) == 3] == [[(0, 0), (100, 0), (200, 0)]]
+    cross = lines.weld([road([(-100, 0), (0, 0)], 0, 1), road([(0, 0), (100, 0)], 1, 0), road([(0, -100), (0, 0)], 0, 1), road([(0, 0), (0, 100)], 1, 0)], 8)
+    assert [len(r["coords"]) for r in cross] == [3, 3]
+
+
+def test_weld_over_gaps_turns_and_layers():
+    (r,) = lines.weld([road([(0, 0), (100, 0)], 0, 1), road([(105, 0), (200, 0)], 1, 0)], 8)
+    assert r["coords"] == [(0, 0), (100, 0), (105, 0), (200, 0)]
+    assert len(lines.weld([road([(0, 0), (100, 0)], 0, 1), road([(100, 40), (200, 40)], 1, 0)], 8)) == 2
+    assert len(lines.weld([road([(0, 0), (100, 0)]), road([(100, 0), (0, 5)])], 8)) == 1  # two ends join at any angle
+    assert lines.weld([road([(0, 0), (10, 0)], layer=1), road([(10, 0), (20, 0), (30, 0)], layer=0)], 8)[0]["layer"] == 0
+    assert lines.weld([road([(0, 0), (10, 0)], layer=1), road([(10, 0), (20, 0)], layer=0)], 8)[0]["layer"] == 1
+    square = [road([(0, 0), (100, 0)]), road([(100, 100), (100, 0)]), road([(100, 100), (0, 100)]), road([(0, 0), (0, 100)])]
+    (r,) = lines.weld(square, 8)
+    assert r["coords"] == [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)]
+    assert lines.weld([], 8) == [] and len(lines.weld([road([(0, 0)]), road([(0, 0), (9, 9)])], 8)) == 2
+
+
+def test_strokes_do_not_depend_on_the_order_of_lines():
+    rng = random.Random(2)
+    grid = [[(x * 10.0, y * 10.0), ((x + dx) * 10.0, (y + 1 - dx) * 10.0)] for x in range(5) for y in range(5) for dx in (0, 1)]
+    want = None
+    for _ in range(5):
+        rng.shuffle(grid)
+        found = sorted(tuple(min(s, s[::-1])) for s in lines.chain_strokes([line[:: rng.choice((1, -1))] for line in grid]))
+        assert want in (None, found)
+        want = found
+    assert {len(s) for s in want} == {6} and len(want) == 10  # straight through every crossing
 
 
 def test_rings_and_holes():
     assert areas.assemble_rings([[1, 2, 3], [5, 4, 3], [5, 1], [7, 8, 9, 7], [9]]) == [[1, 2, 3, 4, 5, 1], [7, 8, 9, 7]]
-    assert areas.assemble_rings([[1, 2], [2, 3]]) == []
+    assert areas.assemble_rings([[1, 2], [2, 3]]) == [] and areas.assemble_rings([[1, 2], [2, 1]]) == [] and areas.assemble_rings([]) == []
+    eight = areas.assemble_rings([[1, 2, 3], [5, 6, 1], [3, 1], [1, 4, 5]])
+    assert sorted(sorted(set(r)) for r in eight) == [[1, 2, 3], [1, 4, 5, 6]] and all(r[0] == r[-1] for r in eight)
     a, b = [(0, 0), (10, 0), (10, 10), (0, 10)], [(20, 0), (30, 0), (30, 10), (20, 10)]
     hole, far = [(22, 2), (24, 2), (24, 4)], [(50, 50), (51, 50), (51, 51)]
     assert areas.assign_holes([a, b], [hole, far]) == [[a], [b, hole]] and areas.assign_holes([a], [far]) == [[a, far]]
