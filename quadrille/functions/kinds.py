@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Ordinal, name, tag value, build zoom, display zoom, default lanes, draw rank of each road kind.
 ROADS = [
@@ -51,3 +52,8 @@ def kind_dimension(spark: SparkSession) -> DataFrame:
     rows += [("label", k, name, zoom, zoom, None, False, k) for k, name, _, zoom in LABELS]
     rows += [("poi", k, name, low, show, None, False, 0) for k, name, low, show in POIS]
     return spark.createDataFrame(rows, "shape STRING, ordinal INT, name STRING, min_zoom INT, display_min_zoom INT, default_lanes DOUBLE, is_link BOOLEAN, rank INT")
+
+
+def road_width(lanes: Column, default_lanes: Column) -> Column:
+    """Metres of a carriageway: its lanes, or where none are told the kind's, at LANE_M each."""
+    return F.when(lanes > 0, lanes).otherwise(default_lanes) * LANE_M

@@ -59,6 +59,20 @@ def bucket(morton_id: Column, z: Column, bucket_zoom: int) -> Column:
     return F.when(z >= bucket_zoom, down).otherwise(up)
 
 
+def bucket_local_id(x: Column, y: Column, z: Column, bucket_zoom: int) -> Column:
+    """The build id of a tile within its bucket's subtree: as if the bucket were the world."""
+    lz = (z - bucket_zoom).cast("int")
+    within = F.call_function("shiftleft", F.lit(1).cast("bigint"), lz)
+    return build_id((x % within).cast("int"), (y % within).cast("int"), lz)
+
+
+def of_bucket_local(local_id: Column, bucket_: Column, bucket_zoom: int) -> tuple[Column, Column, Column]:
+    """x, y, z of a tile from that id and its bucket."""
+    lz = zoom_of_id(local_id)
+    m, side = local_id - below(lz), F.call_function("shiftleft", F.lit(1), lz.cast("int"))
+    return (morton_x(bucket_) * side + morton_x(m)).cast("int"), (morton_y(bucket_) * side + morton_y(m)).cast("int"), (lz + bucket_zoom).cast("int")
+
+
 def hilbert(x: Column, y: Column, z: Column) -> Column:
     """Place of a tile on the Hilbert curve of its zoom: one step for each bit, from the highest."""
     start = F.struct(x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), F.lit(0).cast("bigint").alias("d"))

@@ -51,8 +51,31 @@ def rowwise(df: DataFrame, schema: str, fn: Callable[[dict[str, Any]], Iterable[
 
 
 def grouped(df: DataFrame, keys: list[str], schema: str, fn: Callable[[list[dict[str, Any]]], Iterable[dict[str, Any]]]) -> DataFrame:
+    """fn on the rows of each group. Groups lie one after the other in sorted partitions, so that small ones share batches; a group is in memory as a whole. The number of partitions is the session's, since kernels take more time than their bytes tell."""
     out = to_arrow_schema(T.StructType.fromDDL(schema))
-    return df.groupBy(*keys).applyInArrow(lambda t: pa.Table.from_pylist([*fn(t.to_pylist())], schema=out), schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[dict[str, Any]] = []
+        made: list[dict[str, Any]] = []
+        key: tuple | None = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                here = tuple(row[k] for k in keys)
+                if group and here != key:
+                    made += fn(group)
+                    group = []
+                    if len(made) >= 1000:
+                        yield pa.RecordBatch.from_pylist(made, schema=out)
+                        made = []
+                key = here
+                group.append(row)
+        if group:
+            made += fn(group)
+        if made:
+            yield pa.RecordBatch.from_pylist(made, schema=out)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def rings_of(member_refs: DataFrame) -> DataFrame:

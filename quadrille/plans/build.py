@@ -211,9 +211,9 @@ def tiles(tables: dict[str, DataFrame], config: TileBuildConfig = TileBuildConfi
     return S.payloads(recs, config.extent)
 
 
-def build(spark: SparkSession, osm: str, pmtiles: str, config: TileBuildConfig = TileBuildConfig(), water: str | None = None) -> Header:
-    """The archive of a PBF file, and of a water shapefile if one is given."""
-    tables = read_extract(spark, osm)
+def build(spark: SparkSession, osm: str, pmtiles: str, config: TileBuildConfig = TileBuildConfig(), water: str | None = None, keep: str | None = None) -> Header:
+    """The archive of a PBF file, and of a water shapefile if one is given. keep: a folder in which the extract's tables stay for later builds."""
+    tables = read_extract(spark, osm, keep)
     made = staged(tiles(tables, config, read_water(spark, water) if water else None), "tiles")
     zooms = sorted(r.z for r in made.select("z").distinct().collect())
     bounds = tuple(int(v * 1e7) for v in extract_bbox(tables["nodes"]))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import kinds
 from ..functions import mercator as M
 from ..functions import tags as C
 from ..functions import tileid as I
@@ -15,7 +16,7 @@ from ..functions.kinds import ZOOMS, kind_dimension
 from ..operators import archive as A
 from ..operators import network as N
 from ..operators import sequences as S
-from .projection import MEMBERS_SQL, NODES_SQL, POINTS_SQL, REFS_SQL, REQUESTS_SQL, WAYS_SQL, nodes, points, relations, requests, table, way_refs, ways
+from .projection import MEMBERS_SQL, NODES_SQL, POINTS_SQL, REFS_SQL, REQUESTS_SQL, WAYS_SQL, nodes, points, relations, requests, table, way_refs, way_tags, ways
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -235,20 +236,17 @@ def super_relation_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.super_relation_ways(r, r.where("segment = 'BUILDING'").select("id"))
 
 
-@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id, lon, lat FROM nodes WHERE id IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND status = 'P'))")
+@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id, lon, lat FROM nodes WHERE id IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways))")
 def referenced_nodes_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).join(motorway_tunnels(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_semi")
+    return nodes(spark, sf_dir).join(road_refs(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_semi")
 
 
-@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id FROM nodes WHERE id NOT IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways WHERE kind = 0 AND status = 'P'))")
+@query(f"WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL} SELECT id FROM nodes WHERE id NOT IN (SELECT node_id FROM refs WHERE way_id IN (SELECT id FROM ways)) UNION ALL SELECT node_id FROM (SELECT DISTINCT node_id + (way_id % 3) * 1000000 AS node_id FROM refs) WHERE node_id NOT IN (SELECT id FROM nodes)")
 def missing_nodes_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes(spark, sf_dir).select("id").join(motorway_tunnels(spark, sf_dir).select(c("node_id").alias("id")), "id", "left_anti")
-
-
-def motorway_tunnels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References of the ways with both tags."""
-    t = c("tags")
-    return N.refs_of(ways(spark, sf_dir).where((C.classify_way(t)["kind"] == 0) & (C.structure_of(t) == 2)))
+    """Nodes without references, and references (two thirds of them moved) without nodes."""
+    refs, every = road_refs(spark, sf_dir), nodes(spark, sf_dir).select("id")
+    moved = refs.select((c("node_id") + c("way_id") % 3 * 1_000_000).alias("id")).distinct()
+    return every.join(refs.select(c("node_id").alias("id")), "id", "left_anti").unionByName(moved.join(every, "id", "left_anti"))
 
 
 def road_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,13 +498,27 @@ def metadata_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select(text.alias("metadata"), F.size(F.from_json(text, "format STRING, zoom_levels ARRAY<INT>")["zoom_levels"]).cast("bigint").alias("n"))
 
 
-@query(f"""WITH {_LINES_SQL}, {WAYS_SQL}, b AS (SELECT way_id AS id, floor(min_x) AS min_x, floor(min_y) AS min_y, floor(min_x) + 200 AS max_x, floor(min_y) + 150 AS max_y FROM boxes WHERE way_id IN (SELECT id FROM ways WHERE kind = 0))
-SELECT l.id AS a, r.id AS b FROM b l JOIN b r ON l.id < r.id AND l.min_x <= r.max_x + 150 AND r.min_x <= l.max_x + 150 AND l.min_y <= r.max_y + 150 AND r.min_y <= l.max_y + 150""")
+@query("""WITH b AS (SELECT o_orderkey AS id, (o_orderkey * 7919 % 100003 * 20)::DOUBLE AS min_x, (o_custkey * 104729 % 10007 * 20)::DOUBLE AS min_y, 100 + o_orderkey % 1000 AS w, 50 + o_custkey % 700 AS h FROM orders)
+SELECT l.id AS a, r.id AS b FROM b l JOIN b r ON l.id < r.id AND l.min_x <= r.min_x + r.w + 150 AND r.min_x <= l.min_x + l.w + 150 AND l.min_y <= r.min_y + r.h + 150 AND r.min_y <= l.min_y + l.h + 150""")
 def parallel_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ways(spark, sf_dir).where(C.classify_way(c("tags"))["kind"] == 0)
-    b = N.lines(N.resolve(N.refs_of(w), nodes(spark, sf_dir))).select(c("way_id").alias("id"), G.bbox(c("coords")).alias("b"))
-    b = b.select("id", F.floor("b.min_x").cast("double").alias("min_x"), F.floor("b.min_y").cast("double").alias("min_y")).withColumns({"max_x": c("min_x") + 200, "max_y": c("min_y") + 150})
-    return N.near_boxes(b, 150.0, 500.0)
+    """Boxes of all orders, spread over a large area, that lie within 150 m of one another."""
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), (c("o_orderkey") * 7919 % 100003 * 20).cast("double").alias("min_x"), (c("o_custkey") * 104729 % 10007 * 20).cast("double").alias("min_y"), "o_custkey")
+    return N.near_boxes(o.select("id", "min_x", "min_y", (c("min_x") + 100 + c("id") % 1000).alias("max_x"), (c("min_y") + 50 + c("o_custkey") % 700).alias("max_y")), 150.0, 500.0)
+
+
+@query(f"WITH {_MORTON_SQL}, l AS (SELECT z, tx, ty, m, m >> (2 * (z - 2)) AS bucket, ((1::BIGINT << (2 * (z - 2))) - 1) // 3 + m % (1::BIGINT << (2 * (z - 2))) AS local_id FROM m WHERE z >= 2) SELECT z, tx, ty, bucket, local_id, tx AS back_x, ty AS back_y, z AS back_z FROM l")
+def bucket_local_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = distinct_tiles(spark, sf_dir).where("z >= 2").withColumn("bucket", I.bucket(I.morton(c("tx"), c("ty")), c("z"), 2)).withColumn("local_id", I.bucket_local_id(c("tx"), c("ty"), c("z"), 2))
+    x, y, z = I.of_bucket_local(c("local_id"), c("bucket"), 2)
+    return t.select("z", "tx", "ty", "bucket", "local_id", x.alias("back_x"), y.alias("back_y"), z.alias("back_z"))
+
+
+@query("SELECT o_orderkey AS id, round((CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 ELSE CASE o_orderpriority WHEN '1-URGENT' THEN 6 WHEN '2-HIGH' THEN 4 WHEN '3-MEDIUM' THEN 4 ELSE 2 END END) * 3.7::DOUBLE, 6) AS width FROM orders")
+def road_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths by lanes, or where none are told by the kind's own."""
+    dim = kind_dimension(spark).where("shape = 'road'").select(c("ordinal").alias("kind"), "default_lanes")
+    o = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), (c("o_orderkey") % 4).alias("lanes"), C.classify_way(way_tags(c("o_orderpriority"), c("o_orderstatus")))["kind"].alias("kind"))
+    return o.join(F.broadcast(dim), "kind").select("id", F.round(kinds.road_width(c("lanes"), c("default_lanes")), 6).alias("width"))
 
 
 @query(f"WITH {WAYS_SQL} SELECT 'road' AS shape, kind, count(*) AS n FROM ways GROUP BY kind UNION ALL SELECT 'label', s_nationkey % 8, count(*) FROM supplier WHERE s_nationkey % 8 < 6 GROUP BY ALL UNION ALL SELECT 'area', 3, count(*) FROM part HAVING count(*) > 0")

@@ -9,10 +9,10 @@ from ..functions import mercator as M
 from ..functions.kinds import ZOOMS
 from ..operators import shapes as S
 from ..operators.storage import new_path, staged
-from ..sources import pmtiles
+from ..sources import osmpbf, pmtiles, register, shapefile
 from . import catalog
 from .catalog import query, tile_data
-from .projection import nodes, table
+from .projection import MEMBERS_SQL, NODES_SQL, REFS_SQL, WAYS_SQL, nodes, relations, table, ways
 
 c, lit = F.col, F.lit
 point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -22,6 +22,11 @@ def square(x: F.Column, y: F.Column, side: F.Column) -> F.Column:
     return F.array(point(x, y), point(x + side, y), point(x + side, y + side), point(x, y + side))
 
 
+def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The test tables are one small file each; a kernel's time isn't in their bytes."""
+    return df.repartition(spark.sparkContext.defaultParallelism)
+
+
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """custkey, orderkey, k, n: a customer's orders, numbered, as the sides of a ring."""
     from pyspark.sql.window import Window
@@ -118,7 +123,7 @@ def spiked(spark: SparkSession, sf_dir: str, flags: F.Column) -> DataFrame:
     low = F.col("p_size") % 51 / 50
     spike = lambda k: (k == 2) & (c("p_partkey") % 3 == 0) | (k == 6) & (c("p_partkey") % 2 == 0)
     line = F.transform(F.sequence(lit(0), lit(11)), lambda k: point(k * 10, F.when(spike(k), 40.0).when(k % 3 == 1, low).otherwise(0.0)))
-    return table(spark, sf_dir, "part").select(c("p_partkey").alias("way_id"), line.alias("coords"), flags.alias("junctions"))
+    return spread(spark, table(spark, sf_dir, "part")).select(c("p_partkey").alias("way_id"), line.alias("coords"), flags.alias("junctions"))
 
 
 def _left(lines: DataFrame) -> DataFrame:
@@ -143,7 +148,7 @@ def simplify_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, rings: a square of 3 by 3 cells of 1000 m for each part, in overlapping rows."""
-    p = table(spark, sf_dir, "part").select(c("p_partkey").alias("id"))
+    p = spread(spark, table(spark, sf_dir, "part").select(c("p_partkey").alias("id")))
     return p.select("id", F.array(square(c("id") % 50 * 2000, F.floor(c("id") / 50) * 2000, lit(3000))).alias("rings"))
 
 
@@ -153,8 +158,9 @@ _TILED = f"""
 q AS (SELECT p_partkey AS id, p_partkey % 50 * 2000 + 15000000.0::DOUBLE AS mx, p_partkey // 50 * 2000 + 4000000.0::DOUBLE AS my FROM part),
 sq AS (SELECT id, (mx + {_R}) / (2 * {_R}) * 16384 AS x0, (mx + 3000 + {_R}) / (2 * {_R}) * 16384 AS x1, ({_R} - my - 3000) / (2 * {_R}) * 16384 AS y0, ({_R} - my) / (2 * {_R}) * 16384 AS y1 FROM q),
 col AS (SELECT *, unnest(range(floor(x0)::BIGINT, floor(x1)::BIGINT + 1)) AS tx FROM sq),
-tiled AS (SELECT *, round((least(x1, tx + 1) - tx) * 8192)::BIGINT - round((greatest(x0, tx) - tx) * 8192)::BIGINT AS w, round((least(y1, ty + 1) - ty) * 8192)::BIGINT - round((greatest(y0, ty) - ty) * 8192)::BIGINT AS h
-  FROM (SELECT *, unnest(range(floor(y0)::BIGINT, floor(y1)::BIGINT + 1)) AS ty FROM col))"""
+cells AS (SELECT *, unnest(range(floor(y0)::BIGINT, floor(y1)::BIGINT + 1)) AS ty FROM col),
+corners AS (SELECT *, round((greatest(x0, tx) - tx) * 8192)::BIGINT AS l, round((least(x1, tx + 1) - tx) * 8192)::BIGINT AS r, round((greatest(y0, ty) - ty) * 8192)::BIGINT AS t, round((least(y1, ty + 1) - ty) * 8192)::BIGINT AS b FROM cells),
+tiled AS (SELECT *, r - l AS w, b - t AS h FROM corners)"""
 
 
 def placed_blocks(spark: SparkSession, sf_dir: str, rings: F.Column, shape: str, **values: F.Column) -> DataFrame:
@@ -183,7 +189,7 @@ def polygon_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TILED}
 SELECT 'road' AS shape, tx::INT AS tx, ty::INT AS ty, 'road ' || id AS name, w::DOUBLE AS size, (id % 4 + 1) * 10 + id % 3 + 1 AS lanes, id % 5 - 2 AS layer, CASE WHEN tx > floor(x0) THEN 2 ELSE 1 END AS "start", CASE WHEN tx < floor(x1) THEN 2 ELSE 0 END AS "end", 0::BIGINT AS flags FROM tiled WHERE ty = floor(y1)
 UNION ALL SELECT 'area', tx::INT, ty::INT, NULL, sum(w * h)::DOUBLE, 0, (id % 5 - 2) AS layer, 0, 0,
-  sum(((tx > floor(x0))::INT + (ty > floor(y0))::INT > 0)::INT + ((tx > floor(x0))::INT + (ty < floor(y1))::INT > 0)::INT + ((tx < floor(x1))::INT + (ty > floor(y0))::INT > 0)::INT + ((tx < floor(x1))::INT + (ty < floor(y1))::INT > 0)::INT)::BIGINT FROM tiled GROUP BY tx, ty, id % 5""")
+  sum((l = 0 OR t = 0)::INT + (l = 0 OR b = 8192)::INT + (r = 8192 OR t = 0)::INT + (r = 8192 OR b = 8192)::INT)::BIGINT FROM tiled WHERE w > 0 AND h > 0 GROUP BY tx, ty, id % 5""")
 def tile_shapes_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roads and areas through a tile's payload: lengths, lanes, layers, states of ends, areas and the flags of vertices on a tile's border."""
     from ..functions.geometry import ring_area
@@ -235,8 +241,47 @@ def tile_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pmtiles_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tiles, written to an archive and read again."""
     pmtiles_path, parts = new_path(spark, "archive") + ".pmtiles", new_path(spark, "parts")
-    spark.dataSource.register(pmtiles.PmTilesSource)
+    register(spark)
     pmtiles.write_archive(staged(tile_data(spark, sf_dir), "tiles"), pmtiles_path, parts, zooms=[14])
     return spark.read.format("pmtiles").load(pmtiles_path).select("tile_id", F.md5("data").alias("content"))
 
 
+_EXTRACT = f"""
+WITH {NODES_SQL}, {REFS_SQL}, {WAYS_SQL}, {MEMBERS_SQL},
+r AS (SELECT way_id, string_agg(node_id::VARCHAR, ',' ORDER BY pos) AS refs FROM refs GROUP BY way_id),
+o AS (SELECT rel_id, string_agg(way_id::VARCHAR || ':way:' || CASE WHEN is_hole THEN 'inner' ELSE 'outer' END, ',' ORDER BY pos) AS members FROM members GROUP BY rel_id)
+SELECT 'node' AS kind, id, round(lon * 1e7)::BIGINT || ' ' || round(lat * 1e7)::BIGINT AS content FROM nodes
+UNION ALL SELECT 'way', id, refs || ' ' || 'highway=' || ['motorway', 'trunk', 'primary', 'secondary', 'tertiary'][kind + 1] || CASE status WHEN 'O' THEN ';bridge=yes' WHEN 'P' THEN ';tunnel=yes' ELSE '' END || ';name=' || priority FROM ways JOIN r ON way_id = id
+UNION ALL SELECT 'relation', rel_id, members || CASE WHEN rel_id % 10 = 0 THEN ',' || (rel_id + 1) || ':relation:' ELSE '' END || ' segment=' || c_mktsegment FROM o JOIN customer ON c_custkey = rel_id"""
+
+
+@query(_EXTRACT)
+def pbf_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes, ways and relations, written to an extract and read again, each kind from its own section."""
+    register(spark)
+    path = new_path(spark, "extract") + ".osm.pbf"
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    r = relations(spark, sf_dir).select("id", F.array(F.struct(lit("segment").alias("k"), c("segment").alias("v"))).alias("tags"), "members")
+    osmpbf.write_extract(path, {"nodes": nodes(spark, sf_dir).withColumn("tags", none), "ways": ways(spark, sf_dir).select("id", "refs", "tags"), "relations": r})
+    read = lambda kind: spark.read.format("osmpbf").option("kind", kind).load(path)
+    tags = F.array_join(F.transform("tags", lambda t: F.concat(t["k"], lit("="), t["v"])), ";")
+    e7 = lambda k: F.round(c(k) * 1e7).cast("bigint").cast("string")
+    members = F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["id"].cast("string"), m["type"], m["role"])), ",")
+    n = read("nodes").select(lit("node").alias("kind"), "id", F.concat(e7("lon"), lit(" "), e7("lat")).alias("content"))
+    w = read("ways").select(lit("way").alias("kind"), "id", F.concat(F.array_join("refs", ","), lit(" "), tags).alias("content"))
+    return n.unionByName(w).unionByName(read("relations").select(lit("relation").alias("kind"), "id", F.concat(members, lit(" "), tags).alias("content")))
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) AS id, (p_partkey % 90 + 10)::DOUBLE * (p_partkey % 90 + 10) - 4 AS area, 2 AS rings FROM part")
+def shp_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squares with a hole, written to a shapefile and read again."""
+    from ..functions.geometry import ring_area
+
+    register(spark)
+    path = new_path(spark, "water") + ".shp"
+    box = lambda x, n: [(x, 0.0), (x, n), (x + n, n), (x + n, 0.0), (x, 0.0)]
+    parts = table(spark, sf_dir, "part").select("p_partkey").sort("p_partkey").toLocalIterator()
+    shapefile.write_shp(path, [[box(1000.0 * r.p_partkey, r.p_partkey % 90 + 10.0), [(x + 3, y + 3) for x, y in box(1000.0 * r.p_partkey, 2.0)][::-1]] for r in parts])
+    sizes = F.transform("rings", lambda r: F.abs(ring_area(r)))
+    read = spark.read.format("shp").load(path).withColumn("sizes", sizes)
+    return read.select(c("id").cast("bigint").alias("id"), (2 * F.get("sizes", lit(0)) - F.aggregate("sizes", lit(0.0), lambda s, v: s + v)).alias("area"), F.size("rings").alias("rings"))

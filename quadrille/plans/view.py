@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mercator as M
-from ..functions.kinds import kind_dimension
+from ..functions.kinds import kind_dimension, road_width
 from ..operators import network as N
 from ..operators import shapes as S
 from ..sources import pmtiles as P
@@ -67,12 +67,27 @@ def visible(c: Camera, level: int, margin: int = 0) -> list[tuple[int, int, int]
     return [(level, tx, ty) for ty in span(M.HALF - y - hy, M.HALF - y + hy) for tx in span(x - hx + M.HALF, x + hx + M.HALF)]
 
 
-def scene(spark: SparkSession, path: str, camera: Camera, extent: int = M.EXTENT) -> dict[str, DataFrame]:
+def tiles_or_ancestors(archive: P.Archive, wanted: list[tuple[int, int, int]]) -> dict[tuple[int, int, int], bytes]:
+    """The tiles that the archive has. Only beyond its last level the nearest ancestor, once, stands for a tile; an absent tile of a level that the archive holds has nothing to show."""
+    out: dict[tuple[int, int, int], bytes] = {}
+    while wanted:
+        found = zip(wanted, archive.tiles(wanted), strict=True)
+        absent = []
+        for t, d in found:
+            if d is not None:
+                out[t] = d
+            elif t[0] > max(archive.zooms):
+                absent.append((t[0] - 1, t[1] >> 1, t[2] >> 1))
+        wanted = sorted(set(absent) - set(out))
+    return out
+
+
+def scene(spark: SparkSession, path: str, camera: Camera, extent: int = M.EXTENT, level: int | None = None) -> dict[str, DataFrame]:
     """roads, areas, labels, pois of what the camera sees, in units of the level's frame. The driver reads a viewport's tiles only; shapes are decoded and joined by Spark."""
     archive = P.Archive(path)
-    level = level_of(camera, archive.zooms)
-    wanted = visible(camera, level)
-    data = [(z, x, y, d) for (z, x, y), d in zip(wanted, archive.tiles(wanted), strict=True) if d is not None]
+    level = level_of(camera, archive.zooms) if level is None else level
+    data = [(*t, d) for t, d in tiles_or_ancestors(archive, visible(camera, level)).items()]
+    level = max([t[0] for t in data], default=level)
     found = S.decoded(spark.createDataFrame(data, "z INT, tx INT, ty INT, data BINARY"))
     dim = kind_dimension(spark).select("shape", F.col("ordinal").alias("kind"), "display_min_zoom", F.col("rank").alias("draw"), "default_lanes")
     shown = found.join(F.broadcast(dim), ["shape", "kind"]).where(F.col("display_min_zoom") <= math.floor(camera.zoom))
@@ -84,12 +99,12 @@ def scene(spark: SparkSession, path: str, camera: Camera, extent: int = M.EXTENT
     end = lambda side, p: F.struct(F.lit(side).alias("side"), p["x"].alias("x"), p["y"].alias("y"))
     ends = roads.withColumn("e", F.explode(F.array(end(0, F.get("coords", F.lit(0))), end(1, F.element_at("coords", -1))))).select("kind", "road", F.col("e.side").alias("side"), F.col("e.x").alias("x"), F.col("e.y").alias("y"), total(F.when(F.col("e.side") == 0, F.get("lanes", F.lit(0))).otherwise(F.element_at("lanes", -1))).alias("lanes"))
     blended = N.blend_widths(ends, max(extent // 1024, 1)).groupBy("road").pivot("side", [0, 1]).agg(F.first("blended"))
-    roads = roads.join(blended.select("road", F.col("0").alias("lanes_start"), F.col("1").alias("lanes_end")), "road", "left").join(F.broadcast(dim.where("shape = 'road'").select("kind", "draw")), "kind")
+    roads = roads.join(blended.select("road", F.col("0").alias("lanes_start"), F.col("1").alias("lanes_end")), "road", "left").join(F.broadcast(dim.where("shape = 'road'").select("kind", "draw", "default_lanes")), "kind")
     roads = N.painter_order(roads, ["scene"], ["layer", "draw", "kind", "road"])
     areas = N.painter_order(shown.where("shape = 'area'").withColumn("rings", F.transform("rings", lambda r: F.concat(r, F.slice(r, 1, 1)))), ["scene"], ["layer", "kind", "floors", "tile_id", "id"])
     points = shown.withColumn("at", F.get(F.get("rings", F.lit(0)), F.lit(0)))
     return {
-        "roads": roads.select("kind", "road", "coords", "layer", "name", "structure", "start", "end", "lanes", "lanes_start", "lanes_end", "rank"),
+        "roads": roads.select("kind", "road", "coords", "layer", "name", "structure", "start", "end", "lanes", "lanes_start", "lanes_end", *(road_width(F.col(k), F.col("default_lanes")).alias(k.replace("lanes", "width")) for k in ("lanes_start", "lanes_end")), "rank"),
         "areas": areas.select("kind", "layer", "floors", "rings", "rank"),
         "labels": points.where("shape = 'label'").select("kind", "name", "at.x", "at.y", "draw"),
         "pois": points.where("shape = 'poi'").select("kind", "at.x", "at.y"),

@@ -10,3 +10,4 @@ from .shapefile import ShapeSource
 def register(spark: SparkSession) -> None:
     for source in (OsmPbfSource, ShapeSource, PmTilesSource):
         spark.dataSource.register(source)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # pmtiles prunes by tile_id and z

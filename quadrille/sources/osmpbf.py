@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -135,6 +138,41 @@ def decode(block: bytes, kind: str) -> Iterator[tuple]:
                 yield _signed(f[1]), _tags(strings, f.get(2, b""), f.get(3, b"")), members
 
 
+KINDS = ("nodes", "ways", "relations")
+
+
+def kinds_of(block: bytes) -> tuple[int, int] | None:
+    """The first and the last of KINDS in a primitive block; None if it is empty."""
+    found = [min(max(k - 2, 0), 2) for n, g in fields(block) if n == 2 for k, _ in fields(g) if 1 <= k <= 4]
+    return (min(found), max(found)) if found else None
+
+
+def is_sorted(path: str) -> bool:
+    """Whether the file says that nodes come before ways and ways before relations."""
+    for kind, at, n in blobs(path):
+        head = inflate(open_ranges(path).read(at, n)) if kind == "OSMHeader" else b""
+        return any(k in (4, 5) and bytes(v) == b"Sort.Type_then_ID" for k, v in fields(head))
+    return False
+
+
+def section(path: str, places: list[tuple[int, int]], kind: str) -> list[tuple[int, int]]:
+    """Of the data blobs of a sorted file those that may hold the kind, by bisection: two blobs are inflated for each halving. All blobs of a file that isn't sorted."""
+    if not is_sorted(path):
+        return places
+    ranges, wanted, seen = open_ranges(path), KINDS.index(kind), {}
+
+    def kinds(k: int) -> tuple[int, int]:
+        """Of blob k, or of the next one that isn't empty."""
+        while k < len(places) and k not in seen:
+            seen[k] = kinds_of(inflate(ranges.read(*places[k])))
+            if seen[k] is None:
+                seen[k] = kinds(k + 1)
+        return seen[k] if k < len(places) else (len(KINDS), len(KINDS))
+
+    first = bisect_left(range(len(places)), True, key=lambda k: kinds(k)[1] >= wanted)
+    return places[first : bisect_left(range(len(places)), True, lo=first, key=lambda k: kinds(k)[0] > wanted)]
+
+
 class _Part(InputPartition):
     def __init__(self, places: list[tuple[int, int]]) -> None:
         self.places = places
@@ -148,13 +186,13 @@ class OsmPbfReader(DataSourceReader):
         check_header(self.path)
         parts: list[list[tuple[int, int]]] = [[]]
         size = 0
-        for kind, at, n in blobs(self.path):  # headers only
-            if kind == "OSMData":
-                if size >= PART_BYTES:
-                    parts.append([])
-                    size = 0
-                parts[-1].append((at, n))
-                size += n
+        data = [(at, n) for kind, at, n in blobs(self.path) if kind == "OSMData"]  # headers only
+        for at, n in section(self.path, data, self.kind):
+            if size >= PART_BYTES:
+                parts.append([])
+                size = 0
+            parts[-1].append((at, n))
+            size += n
         return [*map(_Part, parts)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
@@ -191,26 +229,54 @@ def _blob(kind: str, body: bytes) -> bytes:
     return struct.pack(">I", len(head)) + head + blob
 
 
+def _header() -> bytes:
+    return _blob("OSMHeader", b"".join(_field(4, f.encode()) for f in FEATURES[:2]) + _field(5, FEATURES[2].encode()))
+
+
+def data_blob(kind: str, part: list[tuple], dense: bool = True) -> bytes:
+    """A data blob of rows in the order of the kind's schema, with tags as (key, value) pairs and members as (id, type, role)."""
+    strings = {"": 0}
+    sid = lambda s: strings.setdefault(s, len(strings))
+    tagged = lambda tags: _field(2, write_all([sid(k) for k, _ in tags])) + _field(3, write_all([sid(v) for _, v in tags]))
+    if kind == "nodes" and dense:
+        flat = [x for *_, tags in part for x in (*(sid(s) for kv in tags for s in kv), 0)] if any(r[3] for r in part) else []
+        lons, lats = ([round(r[k] * 1e7) for r in part] for k in (1, 2))
+        group = _field(2, _field(1, _steps([r[0] for r in part])) + _field(8, _steps(lats)) + _field(9, _steps(lons)) + (_field(10, write_all(flat)) if flat else b""))
+    elif kind == "nodes":
+        z = lambda v: int(zigzag(np.array([v]))[0])
+        group = b"".join(_field(1, _field(1, z(i)) + tagged(tags) + _field(8, z(round(lat * 1e7))) + _field(9, z(round(lon * 1e7)))) for i, lon, lat, tags in part)
+    elif kind == "ways":
+        group = b"".join(_field(3, _field(1, i) + tagged(tags) + _field(8, _steps(refs))) for i, refs, tags in part)
+    else:
+        group = b"".join(_field(4, _field(1, i) + tagged(tags) + _field(8, write_all([sid(m[2]) for m in members])) + _field(9, _steps([m[0] for m in members])) + _field(10, write_all([MEMBER_TYPES.index(m[1]) for m in members]))) for i, tags, members in part)
+    return _blob("OSMData", _field(1, b"".join(_field(1, s.encode()) for s in strings)) + _field(2, group))
+
+
 def write_pbf(path: str, nodes: list[tuple], ways: list[tuple], relations: list[tuple], *, dense: bool = True, block: int = 8000) -> None:
     """Rows in the orders of SCHEMAS, with tags as (key, value) pairs and members as (id, type, role), as a local file."""
-    out = [_blob("OSMHeader", b"".join(_field(4, f.encode()) for f in FEATURES[:2]))]
-    for kind, rows in (("nodes", nodes), ("ways", ways), ("relations", relations)):
-        for at in range(0, len(rows), block):
-            strings = {"": 0}
-            sid = lambda s, strings=strings: strings.setdefault(s, len(strings))
-            tagged = lambda tags, sid=sid: _field(2, write_all([sid(k) for k, _ in tags])) + _field(3, write_all([sid(v) for _, v in tags]))
-            part = rows[at : at + block]
-            if kind == "nodes" and dense:
-                flat = [x for *_, tags in part for x in (*(sid(s) for kv in tags for s in kv), 0)] if any(r[3] for r in part) else []
-                lons, lats = ([round(r[k] * 1e7) for r in part] for k in (1, 2))
-                group = _field(2, _field(1, _steps([r[0] for r in part])) + _field(8, _steps(lats)) + _field(9, _steps(lons)) + (_field(10, write_all(flat)) if flat else b""))
-            elif kind == "nodes":
-                z = lambda v: int(zigzag(np.array([v]))[0])
-                group = b"".join(_field(1, _field(1, z(i)) + tagged(tags) + _field(8, z(round(lat * 1e7))) + _field(9, z(round(lon * 1e7)))) for i, lon, lat, tags in part)
-            elif kind == "ways":
-                group = b"".join(_field(3, _field(1, i) + tagged(tags) + _field(8, _steps(refs))) for i, refs, tags in part)
-            else:
-                group = b"".join(_field(4, _field(1, i) + tagged(tags) + _field(8, write_all([sid(m[2]) for m in members])) + _field(9, _steps([m[0] for m in members])) + _field(10, write_all([MEMBER_TYPES.index(m[1]) for m in members]))) for i, tags, members in part)
-            out.append(_blob("OSMData", _field(1, b"".join(_field(1, s.encode()) for s in strings)) + _field(2, group)))
+    out = [_header()]
+    for kind, rows in zip(KINDS, (nodes, ways, relations), strict=True):
+        out += [data_blob(kind, rows[at : at + block], dense) for at in range(0, len(rows), block)]
     with open(path, "wb") as f:
         f.write(b"".join(out))
+
+
+def write_extract(path: str, tables: dict[str, DataFrame], block: int = 8000) -> None:
+    """Tables of SCHEMAS as one file, sorted by kind and id. Tasks make the blobs; the driver holds those of one partition at a time."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    fs, target = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+    with fs.open_output_stream(target) as out:
+        out.write(_header())
+        for kind in KINDS:
+
+            def run(batches: Iterable[pa.RecordBatch], kind: str = kind) -> Iterator[pa.RecordBatch]:
+                names = [c.split()[0] for c in SCHEMAS[kind].split(", ") if c.split()[0] in ("id", "lon", "lat", "refs", "tags", "members")]
+                for batch in batches:
+                    for at in range(0, batch.num_rows, block):
+                        rows = batch.slice(at, block).to_pylist()
+                        made = [tuple([tuple(x.values()) for x in r[n]] if n in ("tags", "members") else r[n] for n in names) for r in rows]
+                        yield pa.RecordBatch.from_pydict({"blob": pa.array([data_blob(kind, made)], pa.binary())})
+
+            for r in tables[kind].sort("id").mapInArrow(run, "blob BINARY").toLocalIterator():
+                out.write(bytes(r.blob))

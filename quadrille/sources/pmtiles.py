@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from ..functions.tileid import archive_id_int
@@ -50,11 +51,14 @@ class Archive:
         self.leaves: dict[int, list[P.Entry]] = {}
 
     def leaf(self, e: P.Entry) -> list[P.Entry]:
-        if e.offset not in self.leaves:
+        """Of the 256 leaves used last, or read; the dict is in order of use."""
+        found = self.leaves.pop(e.offset, None)
+        if found is None:
             if len(self.leaves) >= 256:
                 del self.leaves[next(iter(self.leaves))]
-            self.leaves[e.offset] = P.read_directory(self.ranges.read(self.header.leaves[0] + e.offset, e.length))
-        return self.leaves[e.offset]
+            found = P.read_directory(self.ranges.read(self.header.leaves[0] + e.offset, e.length))
+        self.leaves[e.offset] = found
+        return found
 
     def locate(self, z: int, x: int, y: int) -> tuple[int, int] | None:
         tile_id = archive_id_int(z, x, y)
@@ -69,10 +73,14 @@ class Archive:
     def tiles(self, wanted: list[tuple[int, int, int]]) -> list[bytes | None]:
         """In the order asked for; ranges that lie close together are read as one."""
         found = [self.locate(*w) for w in wanted]
-        blocks = P.coalesce([*{f for f in found if f}])
-        data = [(a, self.ranges.read(self.header.data[0] + a, n)) for a, n in blocks]
-        pick = lambda at, n: next(d[at - a : at - a + n] for a, d in data if a <= at and at + n <= a + len(d))
-        return [f and pick(*f) for f in found]
+        return self.contents(found)
+
+    def contents(self, places: list[tuple[int, int] | None]) -> list[bytes | None]:
+        """The bytes at each (offset, length); what lies close together is read at once."""
+        blocks = P.coalesce([*{p for p in places if p}])
+        starts = [a for a, _ in blocks]
+        data = [self.ranges.read(self.header.data[0] + a, n) for a, n in blocks]
+        return [p and data[k := bisect_right(starts, p[0]) - 1][p[0] - starts[k] : p[0] - starts[k] + p[1]] for p in places]
 
     def entries(self) -> Iterator[P.Entry]:
         for e in self.root:
@@ -80,33 +88,59 @@ class Archive:
 
 
 class _Part(InputPartition):
+    """Entries of the root directory: contents, or leaves that the task reads."""
+
     def __init__(self, entries: list[tuple[int, int, int, int]]) -> None:
         self.entries = entries
 
 
+def first_id(z: int) -> int:
+    return ((1 << 2 * z) - 1) // 3
+
+
 class PmTilesReader(DataSourceReader):
+    """A partition for each leaf directory. Filters on z and tile_id choose the leaves and the entries in them that are read."""
+
     def __init__(self, path: str) -> None:
         self.path = path
+        self.low, self.high = 0, 1 << 62  # tile ids wanted
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            name, value = getattr(f, "attribute", None), getattr(f, "value", None)
+            ids = (lambda v: (v, v + 1)) if name == ("tile_id",) else (lambda v: (first_id(v), first_id(v + 1)))
+            if name in (("tile_id",), ("z",)) and isinstance(f, In) and f.value:
+                self._narrow(min(ids(v)[0] for v in f.value), max(ids(v)[1] for v in f.value))
+            elif name in (("tile_id",), ("z",)) and isinstance(value, int) and value >= 0:
+                low, high = ids(value)
+                bounds = {EqualTo: (low, high), GreaterThan: (high, None), GreaterThanOrEqual: (low, None), LessThan: (None, low), LessThanOrEqual: (None, high)}
+                self._narrow(*bounds.get(type(f), (None, None)))
+            yield f  # Spark checks the rows again
+
+    def _narrow(self, low: int | None, high: int | None) -> None:
+        self.low, self.high = max(self.low, low or 0), min(self.high, self.high if high is None else high)
 
     def partitions(self) -> list[InputPartition]:
-        parts, now, size = [], [], 0
-        for e in Archive(self.path).entries():
-            now.append(tuple(e))
-            size += e.length
-            if size >= PART_BYTES or len(now) >= 100_000:
-                parts.append(_Part(now))
-                now, size = [], 0
-        return [*parts, _Part(now)] if now or not parts else parts
+        root = Archive(self.path).root
+        parts: list[list[tuple]] = [[]]
+        for k, e in enumerate(root):
+            after = root[k + 1].tile_id if k + 1 < len(root) and not e.run_length else e.tile_id + e.run_length if e.run_length else 1 << 62
+            if e.tile_id < self.high and after > self.low:
+                if not e.run_length or len(parts[-1]) >= 4096 or sum(x[2] for x in parts[-1]) >= PART_BYTES:
+                    parts.append([])
+                parts[-1].append(tuple(e))
+                if not e.run_length:
+                    parts.append([])
+        return [_Part(p) for p in parts if p] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         a = Archive(self.path)
-        entries = [P.Entry(*e) for e in partition.entries]
+        entries = [x for e in partition.entries for x in (a.leaf(P.Entry(*e)) if not e[3] else [P.Entry(*e)])]
+        entries = [e for e in entries if e.tile_id < self.high and e.tile_id + e.run_length > self.low]
         for at in range(0, len(entries), 1000):
             some = entries[at : at + 1000]
-            blocks = [(s, a.ranges.read(a.header.data[0] + s, n)) for s, n in P.coalesce([(e.offset, e.length) for e in some])]
-            for e in some:
-                data = next(d[e.offset - s : e.offset - s + e.length] for s, d in blocks if s <= e.offset and e.offset + e.length <= s + len(d))
-                for tile_id in range(e.tile_id, e.tile_id + e.run_length):
+            for e, data in zip(some, a.contents([(e.offset, e.length) for e in some]), strict=True):
+                for tile_id in range(max(e.tile_id, self.low), min(e.tile_id + e.run_length, self.high)):
                     yield (tile_id, *tile_of(tile_id), data)
 
 

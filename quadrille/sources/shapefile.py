@@ -79,8 +79,11 @@ class ShapeSource(DataSource):
 
 
 def write_shp(path: str, records: list[list[list[tuple[float, float]]]]) -> None:
-    """Records of closed rings, as a local file."""
-    body = b""
+    """Records of closed rings, as a file at a local or Arrow path."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    fs, target = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path)
+    body = bytearray()
     for k, rings in enumerate(records, 1):
         points = [p for r in rings for p in r]
         xs, ys = [p[0] for p in points], [p[1] for p in points]
@@ -88,5 +91,5 @@ def write_shp(path: str, records: list[list[list[tuple[float, float]]]]) -> None
         rec = struct.pack("<i4dii", POLYGON, min(xs), min(ys), max(xs), max(ys), len(rings), len(points)) + starts.astype("<i4").tobytes() + np.array(points, "<f8").tobytes()
         body += struct.pack(">ii", k, len(rec) // 2) + rec
     head = struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + struct.pack("<ii8d", 1000, POLYGON, *[0.0] * 8)
-    with open(path, "wb") as f:
-        f.write(head + body)
+    with fs.open_output_stream(target) as f:
+        f.write(head + bytes(body))

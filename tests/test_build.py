@@ -59,6 +59,19 @@ def test_scene(spark, made):
     assert view.scene(spark, path, view.Camera(0.0, 0.0, 13.0, 0.0, (256, 256)))["roads"].count() == 0
 
 
+def test_scene_beyond_the_last_level_shows_ancestors(spark, made):
+    path, _ = made
+    camera = view.Camera(139.02, 35.01, 15.0, 0.0, (600, 400))
+    base, beyond = (view.scene(spark, path, camera, level=z) for z in (14, 16))
+    assert beyond["roads"].count() and {(r.kind, r.name) for r in beyond["roads"].collect()} <= {(r.kind, r.name) for r in base["roads"].collect()}
+    assert all(r.width_start > 0 for r in base["roads"].collect())
+    archive = Archive(path)
+    wanted = view.visible(camera, 16)
+    found = view.tiles_or_ancestors(archive, wanted)
+    assert {t[0] for t in found} == {14} and set(found) <= {(14, x >> 2, y >> 2) for _, x, y in wanted}
+    assert view.tiles_or_ancestors(archive, [(12, 0, 0)]) == {}
+
+
 def test_pan_and_zoom():
     c = view.Camera(139.0, 35.0, 13.0, 0.0, (800, 600))
     assert view.zoomed(c, 99).zoom == 20 and view.zoomed(c, -99).zoom == 3

@@ -108,3 +108,35 @@ def test_tables_are_used_again(s, tmp_path):
     for key in ("a", "a", "b"):
         assert reused(make, s, f"file://{tmp_path}/t", key).count() == 3
     assert len(made) == 2
+
+
+def test_section_index_inflates_only_what_a_kind_needs(s, tmp_path, monkeypatch):
+    path = str(tmp_path / "z.osm.pbf")
+    osmpbf.write_pbf(path, [(k, 1.0, 2.0, []) for k in range(1, 401)], [(k, [1, 2], []) for k in range(1, 51)], [(1, [], [(1, "way", "")])], block=10)
+    data = [(at, n) for kind, at, n in osmpbf.blobs(path) if kind == "OSMData"]
+    assert [len(osmpbf.section(path, data, k)) for k in osmpbf.KINDS] == [40, 5, 1] and osmpbf.is_sorted(path)
+    assert [s.read.format("osmpbf").option("kind", k).load(path).count() for k in osmpbf.KINDS] == [400, 50, 1]
+    only = str(tmp_path / "w.osm.pbf")
+    osmpbf.write_pbf(only, [], [(k, [1], []) for k in range(1, 31)], [], block=10)
+    data = [(at, n) for kind, at, n in osmpbf.blobs(only) if kind == "OSMData"]
+    assert [len(osmpbf.section(only, data, k)) for k in osmpbf.KINDS] == [0, 3, 0]
+    monkeypatch.setattr(osmpbf, "is_sorted", lambda _: False)
+    assert len(osmpbf.section(only, data, "nodes")) == 3
+
+
+def test_archive_filters_choose_leaves(s, tmp_path, monkeypatch):
+    monkeypatch.setattr(pmtiles.P, "LEAF_LEAST", 50)
+    monkeypatch.setattr(pmtiles.P, "LEAF_DIVISOR", 10**9)
+    tiles = [(z, x, y) for z in (3, 4, 5) for x in range(1 << z) for y in range(1 << z)]
+    df = s.createDataFrame([(archive_id_int(*t), f"{t}".encode()) for t in tiles], "tile_id BIGINT, data BINARY")
+    path = str(tmp_path / "f.pmtiles")
+    pmtiles.write_archive(df, path, str(tmp_path), zooms=[3, 4, 5])
+    read = s.read.format("pmtiles").load(path)
+    assert {(r.z, r.x, r.y) for r in read.where("z = 4").collect()} == {t for t in tiles if t[0] == 4}
+    assert {(r.z, r.x, r.y) for r in read.where("z > 3 AND z <= 4").collect()} == {t for t in tiles if t[0] == 4}
+    one = archive_id_int(5, 7, 9)
+    assert [bytes(r.data) for r in read.where(f"tile_id = {one}").collect()] == [b"(5, 7, 9)"] and read.where("z IN (3, 5)").count() == 64 + 1024 and read.count() == len(tiles)
+    r = pmtiles.PmTilesReader(path)
+    every = len(r.partitions())
+    [*r.pushFilters([pmtiles.EqualTo(("tile_id",), one)])]
+    assert every > 10 and len(r.partitions()) == 1 and len([*r.read(r.partitions()[0])]) == 1
