@@ -3,8 +3,8 @@
 A text's canonical form is its Unicode compatibility form (NFKC), case-folded, white space runs as one blank, trimmed; two
 texts that differ in these only are the same text. The digest is the 128-bit xxh3 of the canonical form's UTF-8 bytes.
 Documents with equal digests are then grouped by the canonical bytes themselves, so that a collision of digests can't join
-two texts: the second and later texts of a digest, in order of their bytes, get a suffix -1, -2 and so on. Only documents
-whose digest occurs twice are read again for that, and equal texts meet in partial sums, so no task gathers a group.
+two texts: the second and later texts of a digest, in order of their bytes, get a suffix -1, -2 and so on. Only texts whose
+digest occurs twice are moved for that, and equal texts meet in partial sums, so no task gathers a group.
 
 Cases: null is the empty text; an empty table gives no rows; repeated rows stay; other columns are ignored."""
 
@@ -14,6 +14,7 @@ import hashlib
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -27,6 +28,8 @@ from .common import parts_for, staged
 
 #: Rows that a range of neighbours holds at least (if there are that many) and at most, in the mean.
 RANGE_ROWS = (2000, 50_000)
+#: Bits of the map of digests that occur twice.
+MAP_BITS = 1 << 27
 
 
 def canonical(text: str | None) -> str:
@@ -47,38 +50,55 @@ def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def digests(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h (a hash of the text that tells rows of one doc_id, or of none, apart) and digest of each row."""
+    """doc_id, digest of each row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [digest(canonical(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.string())], ["doc_id", "h", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "digest"])
 
-    return _rows(df, doc_id, text).withColumn("h", F.xxhash64("text")).mapInArrow(run, "doc_id BIGINT, h BIGINT, digest STRING")
+    return _rows(df, doc_id, text).mapInArrow(run, "doc_id BIGINT, digest STRING")
 
 
-def same_bytes(df: DataFrame, repeated: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of the documents with a digest in `repeated` (doc_id, h): digest, canonical form, its number among the digest's forms (0 first)."""
+def _marked(repeated: DataFrame) -> np.ndarray:
+    """A map of MAP_BITS bits, set at the first 32 bits of each digest: 16 MB, however many there are."""
+    at = F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") % MAP_BITS
+    words = repeated.select(F.shiftright(at, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(MAP_BITS // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out
+
+
+def same_bytes(df: DataFrame, repeated: DataFrame, *, text: str = "text") -> DataFrame:
+    """Of the documents with a digest in `repeated` (a column `digest`), and of some more: digest, canonical form, its number among the digest's forms (0 first).
+
+    Texts are found again by their digest, whatever their doc_id; a map of bits keeps nearly all others from being moved."""
+    marks = _marked(repeated)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [canonical(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(f) for f in forms]), pa.array(forms)], ["digest", "form"])
-
-    wanted = repeated.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    forms = _rows(df, doc_id, text).join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_semi").mapInArrow(run, "digest STRING, form STRING")
+            rows = []
+            for t in batch.column(0).to_pylist():
+                form = canonical(t)
+                d = digest(form)
+                at = int(d[:8], 16) % MAP_BITS
+                if int(marks[at >> 6]) >> (at & 63) & 1:
+                    rows.append((d, form))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["digest", "form"])
+
+    forms = df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, "digest STRING, form STRING")
     forms = forms.groupBy("digest", "form").agg(F.count("*").alias("rows"))  # compares the bytes
     return forms.withColumn("number", F.row_number().over(Window.partitionBy("digest").orderBy(F.encode("form", "UTF-8"))) - 1)
 
 
-def fingerprint_groups(df: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """found: doc_id, h, digest of every row of df (as digests() gives them, staged).
+def fingerprint_groups(df: DataFrame, found: DataFrame, *, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """found: doc_id, digest of every row of df (as digests() gives them, staged).
 
     Returns the groups (digest, n documents, smallest doc_id) and the collisions: canonical forms that aren't the first of their digest (digest, form, number), of which there are none unless xxh3 collides."""
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("group_id"))
     groups = staged(groups, "groups")
-    repeated = found.join(groups.where("n > 1").select("digest"), "digest", "left_semi").select("doc_id", "h")
-    collisions = staged(same_bytes(df, repeated, doc_id=doc_id, text=text).where("number > 0").select("digest", "form", "number"), "collisions")
+    collisions = staged(same_bytes(df, groups.where("n > 1"), text=text).where("number > 0").select("digest", "form", "number"), "collisions")
     return groups, collisions
 
 
@@ -135,7 +155,7 @@ def edited(text: str, after: str) -> str:
 def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each document its fingerprint, that of its edited text, and whether they and the next document's are the same text (1 or 0)."""
     found = staged(digests(df, doc_id=doc_id, text=text), "digests")
-    groups, collisions = fingerprint_groups(df, found, doc_id=doc_id, text=text)
+    groups, collisions = fingerprint_groups(df, found, text=text)
     numbers = {(r.digest, r.form): f"-{r.number}" for r in collisions.limit(10_000).collect()}  # empty unless a 128-bit hash collides
     if len(numbers) == 10_000:
         raise ValueError("the hash collides too often")

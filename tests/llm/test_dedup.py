@@ -180,13 +180,12 @@ def test_fingerprints(spark):
 
 def test_equal_digests_of_unequal_texts_are_told_apart(spark, monkeypatch):
     df = frame(spark, [(1, "one"), (2, "two"), (None, "two"), (None, "six"), (4, "three")])
-    repeated = df.where("doc_id IS NULL OR doc_id < 4").selectExpr("doc_id", "xxhash64(text) AS h")
-    monkeypatch.setattr(fingerprints, "digest", lambda form: "d")
+    monkeypatch.setattr(fingerprints, "digest", lambda form: "d" if len(form) == 3 else "e")
     import inspect
 
     assert "groupBy(\"digest\", \"form\")" in inspect.getsource(fingerprints.same_bytes)
-    forms = fingerprints.same_bytes(df, repeated)
-    assert sorted(r.form for r in forms.collect()) == ["one", "six", "two"]
+    forms = fingerprints.same_bytes(df, spark.createDataFrame([("d",), ("ffffffff0",)], "digest STRING"))
+    assert sorted((r.form, r.number) for r in forms.collect()) == [("one", 0), ("six", 1), ("two", 2)]
 
 
 def test_many_rows_without_an_id(spark):
