@@ -8,8 +8,12 @@ distinct fingerprint then goes to its own leaf, and as a visitor to each leaf ac
 a leaf's task compares whole fingerprints (exactly, all pairs that can link meet in some leaf) and returns the links that
 its own union-find needs, never all pairs of a group. Components come from rounds of stars over staged tables.
 
-Equal fingerprints are one row throughout. A leaf over LEAF_SPLIT rows is dealt in blocks, each of which all of the leaf's
-rows visit. Nothing but the sample and the trees reaches the driver.
+The sample's trees have a bounded number of leaves. Leaves with more than LEAF_FULL times the rows aimed at get a tree of their
+own, fitted by a task on a bounded sample of that leaf's rows, and their rows and visitors go on to its leaves, for at most
+ROUNDS rounds. What no tree can part (equal halves) and is over LEAF_SPLIT rows is dealt in blocks, each of which all of the
+leaf's rows visit.
+
+Equal fingerprints are one row throughout. Nothing but the sample and the first trees reaches the driver.
 
 Cases: null and wordless texts have fingerprint zero, linked like any other; null ids are carried, and a component's id is
 its smallest id that isn't null; repeated rows stay; an empty table gives no rows; other columns are ignored."""
@@ -31,6 +35,10 @@ from .common import hash_sample, staged
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Distinct fingerprints that fit the trees; vantage points tried for a node; rows of a leaf aimed at; rows of a leaf's block.
 SAMPLE, TRIES, LEAF_ROWS, LEAF_SPLIT = 16_384, 12, 1024, 20_000
+#: A leaf is split again beyond this many times the rows aimed at; its rows that fit its tree; rows that a task routes by it; depth of that tree; rounds.
+LEAF_FULL, LEAF_SAMPLE, LEAF_CHUNK, SUB_DEPTH, ROUNDS = 8, 2_048, 200_000, 10, 4
+_HALF = np.uint64(0xFFFFFFFF)
+_ROUTED, _TREE = "leaf BIGINT, half INT, fp BIGINT, home BOOLEAN", "leaf BIGINT, point ARRAY<BIGINT>, within ARRAY<BIGINT>, near ARRAY<BIGINT>, far ARRAY<BIGINT>"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -153,32 +161,83 @@ def leaf_links(homes: np.ndarray, visitors: np.ndarray, distance: int) -> tuple[
     return every[a], every[b]
 
 
+def _homes(routed: DataFrame) -> DataFrame:
+    return routed.groupBy("leaf").agg(F.count(F.when(F.col("home"), 1)).alias("homes"))
+
+
+def split(routed: DataFrame, full: DataFrame, radius: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """routed's rows of leaves that stay as they are, and those of the leaves in `full` (leaf, homes; staged) in the leaves of a tree for each of them (staged).
+
+    A leaf's tree is fitted on about LEAF_SAMPLE of its rows. Rows meet their leaf's tree in chunks of about LEAF_CHUNK, so that a
+    task's part is bounded, whatever the leaf's size. Leaves whose sample no tree can part stay."""
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        fp = np.sort(table.column("fp").to_numpy().astype(np.int64)).view(np.uint64)
+        half, homes = int(table.column("half")[0].as_py()), int(table.column("homes")[0].as_py())
+        depth = min(SUB_DEPTH, int(np.ceil(np.log2(homes / leaf_rows))))
+        tree = Tree.fit(np.unique((fp >> np.uint64(32 * half)) & _HALF), depth, radius)
+        values = [tree.point.view(np.int64), tree.within, tree.near, tree.far]
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), **{n: pa.array([v], pa.list_(pa.int64())) for n, v in zip(("point", "within", "near", "far"), values, strict=True)}})
+
+    def route(key: tuple, rows: pa.Table, trees: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows
+        arrays = {n: np.array(trees.column(n)[0].as_py(), np.int64) for n in ("point", "within", "near", "far")}
+        tree = Tree(arrays["point"].view(np.uint64), arrays["within"], arrays["near"], arrays["far"])
+        fp, half = rows.column("fp").to_numpy().astype(np.int64).view(np.uint64), int(rows.column("half")[0].as_py())
+        inside = rows.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        row, leaf, home = tree.route((fp >> np.uint64(32 * half)) & _HALF, radius)
+        own = np.zeros(len(fp), np.int64)
+        own[row[home]] = leaf[home]
+        keep = home | ~inside[row] | (leaf > own[row])  # visitors from outside go wherever something near may be
+        row, leaf, home = row[keep], leaf[keep], home[keep]
+        new = (key[0].as_py() << SUB_DEPTH) + leaf
+        return pa.table({"leaf": pa.array(new), "half": pa.array(np.full(len(row), half, np.int32)), "fp": pa.array(fp[row].view(np.int64)), "home": pa.array(home & inside[row])})
+
+    sampled = routed.where("home").join(full, "leaf").where(F.pmod(F.xxhash64("fp"), F.lit(1 << 32)).cast("double") * F.col("homes") < float(LEAF_SAMPLE << 32))
+    trees = staged(sampled.select("leaf", "half", "fp", "homes").groupBy("leaf").applyInArrow(fit, _TREE).where(F.size("point") > 0), "trees")
+    sizes = staged(routed.join(trees.select("leaf"), "leaf", "left_semi").groupBy("leaf").agg((F.floor(F.count("*") / LEAF_CHUNK) + 1).cast("int").alias("chunks")), "sizes")
+    rows = routed.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks")
+    copies = trees.join(sizes, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    moved = rows.groupBy("leaf", "chunk").cogroup(copies.groupBy("leaf", "chunk")).applyInArrow(route, _ROUTED)
+    return routed.join(trees.select("leaf"), "leaf", "left_anti").select("leaf", "half", "fp", "home"), staged(moved, "routed")
+
+
 def links(distinct: DataFrame, *, distance: int = DISTANCE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """distinct: fp, each once, staged. Returns a, b: enough links within the distance to connect all that are connected by such links."""
     rows = distinct.count()
     radius = distance // 2
     depth = max(0, min(16, int(np.ceil(np.log2(max(1, rows) / leaf_rows)))))
     sample = np.array([r.fp for r in hash_sample(distinct.select("fp"), "fp", SAMPLE).collect()], np.int64).view(np.uint64)
-    halves = ((np.uint64(0), "low"), (np.uint64(32), "high"))
-    mask = np.uint64(0xFFFFFFFF)
-    trees = [Tree.fit(np.unique((sample >> shift) & mask), depth, radius) for shift, _ in halves]
+    trees = [Tree.fit(np.unique((sample >> np.uint64(shift)) & _HALF), depth, radius) for shift in (0, 32)]
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            for k, (shift, _) in enumerate(halves):
-                row, leaf, home = trees[k].route((fp >> shift) & mask, radius)
+            for k, tree in enumerate(trees):
+                row, leaf, home = tree.route((fp >> np.uint64(32 * k)) & _HALF, radius)
                 own = np.zeros(len(fp), np.int64)
                 own[row[home]] = leaf[home]
                 keep = home | (leaf > own[row])  # of two leaves that visit each other one is enough
-                yield pa.RecordBatch.from_arrays([pa.array(2 * leaf[keep] + k), pa.array(fp[row[keep]].view(np.int64)), pa.array(home[keep])], ["leaf", "fp", "home"])
-
-    routed = staged(distinct.select("fp").mapInArrow(route, "leaf BIGINT, fp BIGINT, home BOOLEAN"), "routed")
-    blocks = routed.groupBy("leaf").agg((F.floor(F.count(F.when(F.col("home"), 1)) / LEAF_SPLIT) + 1).cast("int").alias("blocks"))
+                half = np.full(int(keep.sum()), k, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(2 * leaf[keep] + k), pa.array(half), pa.array(fp[row[keep]].view(np.int64)), pa.array(home[keep])], ["leaf", "half", "fp", "home"])
+
+    routed = staged(distinct.select("fp").mapInArrow(route, _ROUTED), "routed")
+    done = []
+    for _ in range(ROUNDS):
+        full = staged(_homes(routed).where(F.col("homes") > LEAF_FULL * leaf_rows), "full")
+        if full.isEmpty():
+            break
+        rest, routed = split(routed, full, radius, leaf_rows)
+        done.append(rest)
+    for k, rest in enumerate([*done, routed]):
+        rest = rest.withColumn("level", F.lit(k))
+        every = rest if k == 0 else every.unionAll(rest)
+    blocks = every.groupBy("level", "leaf").agg((F.floor(F.count(F.when(F.col("home"), 1)) / LEAF_SPLIT) + 1).cast("int").alias("blocks"))
     big = blocks.where("blocks > 1")
-    routed = routed.join(big, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    every = every.join(big, ["level", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = routed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", F.col("home") & (F.col("block") == own))
+    dealt = every.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", F.col("home") & (F.col("block") == own))
 
     def compare(table: pa.Table) -> pa.Table:
         fp, home = table.column("fp").to_numpy().astype(np.int64).view(np.uint64), table.column("home").to_numpy(zero_copy_only=False).astype(bool)
@@ -187,7 +246,7 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE, leaf_rows: int = LEA
         a, b = leaf_links(fp[home], fp[~home], distance)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return dealt.select("leaf", "block", "fp", "home").groupBy("leaf", "block").applyInArrow(compare, "a BIGINT, b BIGINT")
+    return dealt.select("level", "leaf", "block", "fp", "home").groupBy("level", "leaf", "block").applyInArrow(compare, "a BIGINT, b BIGINT")
 
 
 def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:

@@ -96,6 +96,30 @@ def test_links_connect_all_that_all_pairs_connect(spark, monkeypatch, split):
     assert [label.get(i, i) for i in ids] == naive_components(ids, fps, 3)
 
 
+def test_full_leaves_get_trees_of_their_own(spark, monkeypatch):
+    """A first tree of few leaves, chunks of a few rows, several rounds; one half is the same in many rows, so that no tree parts them."""
+    for name, value in {"SAMPLE": 32, "LEAF_FULL": 2, "LEAF_SAMPLE": 40, "LEAF_CHUNK": 50, "SUB_DEPTH": 2, "LEAF_SPLIT": 60}.items():
+        monkeypatch.setattr(simhash, name, value)
+    rounds = []
+    plain = simhash.split
+    monkeypatch.setattr(simhash, "split", lambda *a: rounds.append(a[1].count()) or plain(*a))
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    fps = set(seeds.tolist()) | {(int(f) << 32 | 77) & (1 << 64) - 1 for f in seeds[:90]}
+    for f in list(fps):
+        for _ in range(4):
+            for bit in rng.integers(64, size=rng.integers(1, 4)).tolist():
+                f ^= 1 << bit
+            fps.add(f)
+    signed = sorted(f - (1 << 64) if f >> 63 else f for f in fps)
+    df = spark.createDataFrame([(f,) for f in signed], "fp BIGINT")
+    found = simhash.links(df, leaf_rows=16).collect()
+    assert len(rounds) >= 2 and all(rounds)
+    assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= 3 for r in found)
+    label = {r.node: r.label for r in simhash.components(spark.createDataFrame([(r.a, r.b) for r in found], "a BIGINT, b BIGINT")).collect()}
+    assert [label.get(i, i) for i in signed] == naive_components(signed, [f & (1 << 64) - 1 for f in signed], 3)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a BIGINT, b BIGINT")
     label = {r.node: r.label for r in simhash.components(edges).collect()}
