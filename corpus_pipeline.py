@@ -21,10 +21,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group; documents without an id stay."""
+    """One document of each group, the one with the smallest doc_id; rows without an id and repeated rows are in their groups like others."""
     small_batches(spark)
-    found = staged(simhash.near_duplicates(docs), "near")
-    return docs.select(COLUMNS).join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(COLUMNS)
+    return simhash.one_of_each(docs.select(COLUMNS))
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,11 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import hash_sample, staged
+from .common import hash_sample, own, staged
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Distinct fingerprints that fit the trees; vantage points tried for a node; rows of a leaf aimed at; rows of a leaf's block.
@@ -60,15 +60,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed 64-bit integer."""
+def fingerprints(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """doc_id, fp: the fingerprint as a signed 64-bit integer; with `row`, a 64-bit number of the caller's for each row, also row."""
+    names = ["doc_id", "fp"] if row is None else ["doc_id", "fp", "row"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), *batch.columns[2:]], names)
 
-    return df.select(F.col(doc_id).cast("bigint").alias("doc_id"), text).mapInArrow(run, "doc_id BIGINT, fp BIGINT")
+    rows = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), text, *([] if row is None else [row.cast("bigint").alias("row")]))
+    return rows.mapInArrow(run, ", ".join(f"{n} BIGINT" for n in names))
 
 
 @dataclass(frozen=True)
@@ -236,8 +238,8 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE, leaf_rows: int = LEA
     blocks = every.groupBy("level", "leaf").agg((F.floor(F.count(F.when(F.col("home"), 1)) / LEAF_SPLIT) + 1).cast("int").alias("blocks"))
     big = blocks.where("blocks > 1")
     every = every.join(big, ["level", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = every.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", F.col("home") & (F.col("block") == own))
+    mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    dealt = every.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("home", F.col("home") & (F.col("block") == mine))
 
     def compare(table: pa.Table) -> pa.Table:
         fp, home = table.column("fp").to_numpy().astype(np.int64).view(np.uint64), table.column("home").to_numpy(zero_copy_only=False).astype(bool)
@@ -249,15 +251,35 @@ def links(distinct: DataFrame, *, distance: int = DISTANCE, leaf_rows: int = LEA
     return dealt.select("level", "leaf", "block", "fp", "home").groupBy("level", "leaf", "block").applyInArrow(compare, "a BIGINT, b BIGINT")
 
 
-def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id of the component) of every row."""
-    prints = staged(fingerprints(df, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
+def near_duplicates(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, row: Column | None = None) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id of the component) of every row; with `row` also row and component (a number of the component, even where no row of it has an id)."""
+    prints = staged(fingerprints(df, doc_id=doc_id, text=text, shingle=shingle, row=row), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     label = components(links(distinct.select("fp"), distance=distance)).select(F.col("node").alias("fp"), "label")
     labelled = staged(distinct.join(label, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = labelled.join(ids, "label").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = labelled.join(ids, "label").select("fp", "component_id", F.col("label").alias("component"))
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id", *([] if row is None else ["row", "component"]))
+
+
+def one_of_each(df: DataFrame, *, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """df with one row of each component: of its smallest doc_id, or where no row has an id any; among several rows of that id the one with the smallest hash of all columns.
+
+    Rows that are the same in all columns are first told from others by that hash and counted; those few that stay and occur again go through an aggregate of their own."""
+    key, same, times = own("row", "doc_id", "times")
+    hashed = F.xxhash64(*(F.col(c) for c in df.columns))
+    found = staged(near_duplicates(df, doc_id=doc_id, text=text, distance=distance, shingle=shingle, row=hashed), "near")
+    each = found.groupBy("component", "doc_id", "row").agg(F.count("*").alias("n"))
+    first = each.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("s"))
+    first = staged(first.select(F.col("s.doc_id").alias(same), F.col("s.row").alias(key), F.col("s.n").alias(times)), "first")
+    many = first.where(F.col(times) > 1)
+    at = (hashed == F.col(key)) & F.col(doc_id).cast("bigint").eqNullSafe(F.col(same))
+    once = df.join(first.where(F.col(times) == 1), at, "left_semi")
+    if many.isEmpty():
+        return once
+    again = df.join(many, at).drop(same, times)
+    values = [F.first(c).alias(c) for c in df.columns]
+    return once.unionAll(again.groupBy(key, F.col(doc_id).alias(same)).agg(*values).select(*df.columns))
 
 
 def hex_digits(fp_column: str = "fp"):  # noqa: ANN201
