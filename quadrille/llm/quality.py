@@ -4,7 +4,8 @@ A logistic regression over a document's own features (pairs of character classes
 is fitted on the driver on at most `most` labelled rows, chosen by a hash of their ids: a documented bound. Every document
 of the corpus is then scored; sums of the scores by host and by path within a host, over all documents, give posteriors:
 the strength of each prior comes from the spread of the groups' means (method of moments), so that a host with few documents
-takes the corpus's mean and a path with few the host's. A document's verdict adds its own evidence and its path's log odds.
+takes the corpus's mean and a path with few the host's. A document's verdict adds its own evidence and the log odds of its
+path, host and corpus without it: its own score is taken out of their sums, so that it counts once.
 
 Cases: null and empty texts have features of their own (all zero) and are judged like others; a null host or path is a group
 like any other; a table without labels, or with labels of one kind, is judged by the prior alone and loses nothing; an
@@ -118,6 +119,10 @@ def with_evidence(df: DataFrame, model: Model, keep: list[str], *, text: str = "
     return rows.mapInArrow(run, schema)
 
 
+def _good(evidence: Column, base: float) -> Column:
+    return 1 / (1 + F.exp(-(evidence + F.lit(base))))
+
+
 def _strength(groups: DataFrame, mean: Column, towards: Column) -> Column:
     """Pseudo-documents of a prior: m (1 - m) over the spread of the groups' means beyond their own noise, less one."""
     n, m = F.col("n"), F.col("s") / F.col("n")
@@ -127,16 +132,30 @@ def _strength(groups: DataFrame, mean: Column, towards: Column) -> Column:
 
 
 def posteriors(scores: DataFrame, base: float, *, host: str, path: str, evidence: str) -> DataFrame:
-    """host, path, host_posterior, path_posterior, from all rows of `scores`: grouped sums, then shrinkage from the corpus to hosts to paths."""
-    p = 1 / (1 + F.exp(-(F.col(evidence) + F.lit(base))))
+    """h, p, host_posterior, path_posterior, from all rows of `scores`: grouped sums, then shrinkage from the corpus to hosts to paths.
+
+    Also what leaves a document out: rows and sums of the path (n, s), of the host (host_n, host_s), of the corpus (all_n, all_s), and the strengths of both priors (host_k, path_k)."""
+    p = _good(F.col(evidence), base)
     paths = staged(scores.groupBy(F.col(host).alias("h"), F.col(path).alias("p")).agg(F.count("*").alias("n"), F.sum(p).alias("s")), "paths")
     hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    m = F.lit(paths.agg(F.coalesce(F.sum("s") / F.sum("n"), F.lit(0.5))).first()[0])
+    all_n, all_s = paths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
+    m = F.lit(all_s / all_n if all_n else 0.5)
     k = hosts.agg(_strength(hosts, m, m)).first()[0] or 2.0
-    hosts = hosts.select(F.col("h").alias("hh"), ((F.col("s") + k * m) / (F.col("n") + k)).alias("host_posterior"))
+    hosts = hosts.select(F.col("h").alias("hh"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), F.lit(k).alias("host_k"), ((F.col("s") + k * m) / (F.col("n") + k)).alias("host_posterior"))
     paths = paths.join(hosts, F.col("h").eqNullSafe(F.col("hh"))).drop("hh")
     k = paths.agg(_strength(paths, F.col("host_posterior"), F.col("host_posterior"))).first()[0] or 2.0
-    return paths.select("h", "p", "host_posterior", ((F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)).alias("path_posterior"))
+    path = (F.col("s") + k * F.col("host_posterior")) / (F.col("n") + k)
+    return paths.select("h", "p", "host_posterior", path.alias("path_posterior"), "n", "s", "host_n", "host_s", "host_k", F.lit(k).alias("path_k"), F.lit(all_n).cast("bigint").alias("all_n"), F.lit(float(all_s)).alias("all_s"))
+
+
+def without_own(own_p: Column, g: Column) -> tuple[Column, Column]:
+    """Posteriors of host and path, `g` a row of posteriors(), without a document whose probability is own_p. A corpus of nothing else has 0.5."""
+    rest = lambda s: F.greatest(s - own_p, F.lit(0.0))  # noqa: E731  sums are rounded
+    m = F.when(g["all_n"] > 1, F.least(rest(g["all_s"]) / (g["all_n"] - 1), F.lit(1.0))).otherwise(0.5)
+    of_host = (rest(g["host_s"]) + g["host_k"] * m) / (g["host_n"] - 1 + g["host_k"])
+    of_path = (rest(g["s"]) + g["path_k"] * of_host) / (g["n"] - 1 + g["path_k"])
+    inside = lambda x: F.greatest(F.least(x, F.lit(1 - 1e-9)), F.lit(1e-9))
+    return inside(of_host), inside(of_path)
 
 
 def judge(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: str = "source", path: str = "lang", label: str = "quality", keep_from: float = KEEP_FROM, most: int = FIT_ROWS, columns: list[str] | None = None) -> DataFrame:
@@ -152,9 +171,9 @@ def judge(df: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     scored = with_evidence(df, model, [*columns, h, p], text=text, out=e)
     scores = staged(scored if slim else with_evidence(df, model, [h, p], text=text, out=e), "scores")
     groups = staged(posteriors(scores, model.base, host=h, path=p, evidence=e), "posteriors")
-    groups = groups.select(F.col("h").alias("__h"), F.col("p").alias("__p"), F.col("host_posterior").alias("__hp"), F.col("path_posterior").alias("__pp"))
-    judged = (scores if slim else scored).join(groups, F.col(h).eqNullSafe(F.col("__h")) & F.col(p).eqNullSafe(F.col("__p")))
-    odds = F.col(e) + F.log(F.col("__pp") / (1 - F.col("__pp")))
-    posterior = 1 / (1 + F.exp(-odds))
-    return judged.select(*columns, F.col(e).alias("evidence"), F.col("__hp").alias("host_posterior"), F.col("__pp").alias("path_posterior"), posterior.alias("posterior"), (posterior >= keep_from).alias("kept"))
-
+    h2, p2, g = own("h", "p", "group")
+    groups = groups.select(F.col("h").alias(h2), F.col("p").alias(p2), F.struct(*(c for c in groups.columns if c not in ("h", "p"))).alias(g))
+    judged = (scores if slim else scored).join(groups, F.col(h).eqNullSafe(F.col(h2)) & F.col(p).eqNullSafe(F.col(p2)))
+    of_host, of_path = without_own(_good(F.col(e), model.base), F.col(g))
+    posterior = 1 / (1 + F.exp(-(F.col(e) + F.log(of_path / (1 - of_path)))))
+    return judged.select(*columns, F.col(e).alias("evidence"), of_host.alias("host_posterior"), of_path.alias("path_posterior"), posterior.alias("posterior"), (posterior >= keep_from).alias("kept"))
