@@ -393,3 +393,31 @@ def test_html_of_a_hot_host_and_null_ids(spark):
     rows = [(None, None if k % 2 else "", page(k // 3)) for k in range(60)]
     got = sorted(r.text for r in html.extract(spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING")).collect())
     assert got == sorted(f"odd {k // 3}\ntext {k // 3}" for k in range(60))
+
+
+def plain_licences(text):
+    """Sentences and rules in plain Python: joined lines first, then line by line."""
+    normal = lambda x: " ".join("".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in x.lower()).split())
+    ids = []
+    for joined in re.split(r"(?<=[.!?:])[\x20\x09-\x0D]+", text):
+        known = licenses.KNOWN.get(normal(joined))
+        ids += [known] if known else [k for line in joined.split("\n") if (k := licenses.KNOWN.get(normal(line)))]
+
+    def meets(rule):
+        at = iter(ids)
+        return all(k in at for k in rule)
+
+    hits = [n for n in dict.fromkeys(n for n, _ in licenses.RULES) if any(meets(r) for m, r in licenses.RULES if m == n)]
+    return ids, [n for n in hits if not any(n in licenses.COVERED.get(m, ()) for m in hits)]
+
+
+def test_licences_against_plain_python(spark):
+    rng = random.Random(17)
+    notices = [n for n in licenses.KNOWN if rng.random() < 0.1]
+    texts = ["see the license. " + s for s in licenses.KNOWN]
+    for _ in range(300):
+        parts = [rng.choice([*licenses.SENTENCES.values(), *notices, "Some other words.", "A licensed plumber came", "Released under the moon License."]) for _ in range(rng.randint(0, 6))]
+        texts.append("license: " + "".join(p.replace(" ", rng.choice([" ", "  ", "\n"]), rng.randint(0, 3)) + rng.choice([". ", "\n", ".\n\n", " "]) for p in parts))
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")).collect()
+    assert {r.doc_id: (r.sentence_ids, r.licenses) for r in got} == {k: plain_licences(t) for k, t in enumerate(texts)}
+    assert len({n for r in got for n in r.licenses}) > 40
