@@ -198,18 +198,34 @@ def burned(polygons: DataFrame, scale: float) -> DataFrame:
 
 
 def outlines(pixels: DataFrame, scale: float, *, least_px: float = 12.0, radius: int = 0, block: int = 512) -> DataFrame:
-    """Outer outlines of the pixels' groups in blocks of pixels, in metres: bx, by, blob, rings. Groups that cross a block's border are cut there, so that a block bounds a task's work."""
-    keyed = pixels.select("px", "py", F.floor(F.col("px") / block).cast("int").alias("bx"), F.floor(F.col("py") / block).cast("int").alias("by"))
+    """Outer outlines of the pixels' groups in blocks of pixels, in metres: bx, by, blob, rings. Groups that cross a block's border are cut there, so that a block bounds a task's work.
+
+    Gaps are closed with the pixels around a block in view. A group goes if all its pieces together have less than `least_px`:
+    pieces of less than that which touch a border are joined with their neighbours beyond it, and stay if the whole is large enough."""
+    halo = 2 * radius
+    near = lambda v: F.explode(F.sequence(F.floor((F.col(v) - halo) / block).cast("int"), F.floor((F.col(v) + halo) / block).cast("int")))
+    keyed = pixels.select("px", "py", near("px").alias("bx")).select("*", near("py").alias("by"))
+    side = block + 2 * halo
 
     def run(rows: list[dict]) -> Iterator[dict]:
         bx, by = rows[0]["bx"], rows[0]["by"]
-        mask = np.zeros((block, block), bool)
-        mask[[r["py"] - by * block for r in rows], [r["px"] - bx * block for r in rows]] = True
-        for k, ring in enumerate(A.contours(A.close_mask(mask, radius))):
-            if abs(A.area(ring)) >= least_px:
-                yield {"bx": bx, "by": by, "blob": k, "rings": [_xy(((x + bx * block + 0.5) / scale - HALF, HALF - (y + by * block + 0.5) / scale) for x, y in ring)]}
-
-    return grouped(keyed, ["bx", "by"], f"bx INT, `by` INT, blob INT, rings ARRAY<{POINTS}>", run)
+        mask = np.zeros((side, side), bool)
+        mask[[r["py"] - by * block + halo for r in rows], [r["px"] - bx * block + halo for r in rows]] = True
+        mask = A.close_mask(mask, radius)[halo : halo + block, halo : halo + block]
+        for k, ring in enumerate(A.contours(mask)):
+            borders = [{"across": across, "at": int(p[across]) + (bx, by)[across] * block, "along": int(p[1 - across]) + (by, bx)[across] * block} for p in ring for across in (0, 1) if p[across] in (0, block)]
+            yield {"bx": bx, "by": by, "blob": k, "piece": (bx << 41) + (by << 18) + k, "area": float(A.area(ring)), "borders": borders, "rings": [_xy(((x + bx * block) / scale - HALF, HALF - (y + by * block) / scale) for x, y in ring)]}
+
+    found = grouped(keyed, ["bx", "by"], f"bx INT, `by` INT, blob INT, piece BIGINT, area DOUBLE, borders ARRAY<STRUCT<across: INT, at: INT, along: INT>>, rings ARRAY<{POINTS}>", run)
+    pieces = staged(found, "pieces")
+    small = F.col("area") < least_px
+    met = pieces.select("piece", small.alias("small"), F.explode("borders").alias("border")).groupBy("border").agg(F.min("piece").alias("a"), F.max("piece").alias("b"), F.max("small").alias("small"))
+    reached = components(met.where("small AND a <> b").select("a", "b"))
+    label = staged(reached.unionAll(reached.select(F.col("label").alias("node"), "label").distinct()), "groups")  # the smallest one belongs to its group
+    whole = label.join(pieces.select(F.col("piece").alias("node"), "area"), "node").groupBy("label").agg(F.sum("area").alias("whole")).where(F.col("whole") >= least_px)
+    parts = label.join(whole.select("label"), "label", "left_semi").select(F.col("node").alias("piece"))
+    columns = ["bx", "by", "blob", "rings"]
+    return pieces.where(~small).select(columns).unionAll(pieces.where(small).join(parts, "piece", "left_semi").select(columns))
 
 
 def united(polygons: DataFrame, cell: float) -> DataFrame:

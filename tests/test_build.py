@@ -2,12 +2,15 @@
 
 import math
 
+import numpy as np
 import pytest
 
+from quadrille.functions import mercator
+from quadrille.kernels import areas, tilecodec
+from quadrille.operators import shapes
 from quadrille.plans import build, view
 from quadrille.sources import osmpbf, shapefile
 from quadrille.sources.pmtiles import Archive
-from quadrille.kernels import tilecodec
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +82,29 @@ def test_pan_and_zoom():
     assert moved.lon < c.lon and abs(moved.lat - c.lat) < 1e-9
     x, y = view.to_screen(c, *view.metres(c))
     assert abs(x - 400) < 1e-6 and abs(y - 300) < 1e-6
+
+
+def test_groups_across_block_borders_are_culled_as_wholes(spark):
+    rng = np.random.default_rng(4)
+    mask = np.zeros((48, 48), bool)
+    for _ in range(45):
+        y, x = rng.integers(44, size=2)
+        h, w = rng.integers(1, 5, size=2)
+        mask[y : y + h, x : x + w] = True
+    mask[14:18, 14:18] = True  # 4 pixels in each of four blocks
+    pixels = spark.createDataFrame([(int(x), int(y)) for y, x in np.argwhere(mask)], "px INT, py INT")
+    for radius in (0, 2):
+        room = np.pad(mask, 32)  # a closing has room on all sides
+        closed = areas.close_mask(room, radius)[32:-32, 32:-32]
+        got = shapes.outlines(pixels, 1.0, least_px=12.0, radius=radius, block=16).collect()
+        inside = np.zeros_like(mask)
+        for r in got:
+            for y, a, b in areas.fill_spans([(round(p.x + mercator.HALF, 3), round(mercator.HALF - p.y, 3)) for p in r.rings[0]]):
+                inside[y, a : b + 1] = True
+        whole = np.zeros_like(mask)
+        for ring in areas.contours(closed):
+            if areas.area(ring) >= 12:
+                for y, a, b in areas.fill_spans(ring):
+                    whole[y, a : b + 1] = True
+        wrong = np.argwhere((inside ^ whole) & closed).tolist()
+        assert not wrong and (whole & closed).any() and (closed & ~whole).any()
