@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,11 +24,31 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return refs.join(nodes.select(F.col("id").alias("node_id"), "lon", "lat"), "node_id").select("way_id", "pos", "node_id", "lon", "lat")
 
 
-def lines(resolved: DataFrame) -> DataFrame:
+def projected(nodes: DataFrame) -> DataFrame:
+    """id, x, y: nodes in Mercator metres, the same to the last bit as by SQL's tan and ln, which are the C library's; the JVM's y differs in the last place at one of 15 latitudes from 35 to 85 degrees, which rounds some areas otherwise."""
+
+    def northing(lat: float | None) -> float | None:
+        return None if lat is None else math.log(math.tan(math.pi / 4 + math.radians(min(max(lat, -M.MAX_LAT), M.MAX_LAT)) / 2)) * M.RADIUS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lats = batch.column("lat").to_pylist()
+            known = {v: northing(v) for v in set(lats)}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array([known[v] for v in lats], pa.float64())], ["id", "x", "y"])
+
+    return nodes.select("id", M.mercator_x(F.col("lon")).alias("x"), "lat").mapInArrow(run, "id BIGINT, x DOUBLE, y DOUBLE")
+
+
+def placed(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """refs with x, y; each node is projected once, and references to absent nodes are skipped."""
+    return refs.join(projected(nodes).withColumnRenamed("id", "node_id"), "node_id").select("way_id", "pos", "node_id", "x", "y")
+
+
+def lines(placed: DataFrame) -> DataFrame:
     """way_id, coords: each way's Mercator vertices in order; ways with fewer than two are no lines."""
-    point = F.struct("pos", M.mercator_x(F.col("lon")).alias("x"), M.mercator_y(F.col("lat")).alias("y"))
+    point = F.struct("pos", "x", "y")
     coords = F.transform(F.array_sort(F.collect_list(point)), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    return resolved.groupBy("way_id").agg(coords.alias("coords")).where(F.size("coords") >= 2)
+    return placed.groupBy("way_id").agg(coords.alias("coords")).where(F.size("coords") >= 2)
 
 
 def junctions(refs: DataFrame) -> DataFrame:

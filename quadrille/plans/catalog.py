@@ -303,8 +303,12 @@ def dense_rank_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES_SQL = POINTS_SQL + ", " + REFS_SQL + ", v AS (SELECT way_id, pos, x, y FROM refs JOIN points ON node_id = id), ok AS (SELECT way_id FROM v GROUP BY way_id HAVING count(*) >= 2), boxes AS (SELECT way_id, min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM v WHERE way_id IN (SELECT way_id FROM ok) GROUP BY way_id)"
 
 
+def way_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.placed(way_refs(spark, sf_dir), nodes(spark, sf_dir))
+
+
 def way_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.lines(N.resolve(way_refs(spark, sf_dir), nodes(spark, sf_dir)))
+    return N.lines(way_points(spark, sf_dir))
 
 
 @query(f"WITH {_LINES_SQL}, {ZOOMS_SQL} SELECT z, count(*) AS shapes FROM boxes, zooms GROUP BY z")
