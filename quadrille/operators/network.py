@@ -94,16 +94,24 @@ def segments(lines_: DataFrame) -> DataFrame:
     return lines_.select("way_id", F.posexplode(pair).alias("seg", "s")).select("way_id", "seg", "s.*")
 
 
+def once(df: DataFrame, kept: list[str], values: dict[str, Column]) -> DataFrame:
+    """The kept columns and values, each value worked out once a row, however often later columns name it."""
+    return df.select(*kept, F.inline(F.array(F.struct(*(v.alias(k) for k, v in values.items())))))
+
+
 def clip_to_tiles(segs: DataFrame, z: int, extent: int = M.EXTENT) -> DataFrame:
     """Pieces of segments in the tiles of zoom z: way_id, seg, tx, ty, local ends x0, y0, x1, y1, cut_start, cut_end.
 
-    A segment that only touches a tile gives a piece of no length there."""
-    s = segs.withColumn("z", F.lit(z)).withColumns({"min_x": F.least("ax", "bx"), "max_x": F.greatest("ax", "bx"), "min_y": F.least("ay", "by"), "max_y": F.greatest("ay", "by")})
-    s = cover(s, "min_x", "min_y", "max_x", "max_y")
-    zc = F.col("z")
-    s = s.withColumns({"fax": M.fractional_x(F.col("ax"), zc) - F.col("tx"), "fay": M.fractional_y(F.col("ay"), zc) - F.col("ty"), "fbx": M.fractional_x(F.col("bx"), zc) - F.col("tx"), "fby": M.fractional_y(F.col("by"), zc) - F.col("ty")})
+    A segment that only touches a tile gives a piece of no length there. Each step's values are generated as one row, since
+    Spark else writes each in full wherever the next step names it, into methods too long to be compiled."""
+    zc = F.lit(z)
+    place = {"fax": M.fractional_x(F.col("ax"), zc), "fay": M.fractional_y(F.col("ay"), zc), "fbx": M.fractional_x(F.col("bx"), zc), "fby": M.fractional_y(F.col("by"), zc)}
+    span = lambda a, b: F.explode(F.sequence(M.clamp_tile(F.least(a, b), zc), M.clamp_tile(F.greatest(a, b), zc)))
+    s = once(segs, ["way_id", "seg"], place).withColumn("tx", span("fax", "fbx")).withColumn("ty", span("fay", "fby"))
+    kept = ["way_id", "seg", "tx", "ty"]
+    s = once(s, kept, {"fax": F.col("fax") - F.col("tx"), "fay": F.col("fay") - F.col("ty"), "fbx": F.col("fbx") - F.col("tx"), "fby": F.col("fby") - F.col("ty")})
     t0, t1, meets = G.clip_segment(F.col("fax"), F.col("fay"), F.col("fbx"), F.col("fby"), F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
-    s = s.withColumns({"t0": t0, "t1": t1, "meets": meets}).where("meets")
+    s = once(s, [*kept, "fax", "fay", "fbx", "fby"], {"t0": t0, "t1": t1, "meets": meets}).where("meets")
     at = lambda a, b, t: M.quantize((F.col(a) + (F.col(b) - F.col(a)) * F.col(t)) * extent, extent)
     return s.select("way_id", "seg", "tx", "ty", at("fax", "fbx", "t0").alias("x0"), at("fay", "fby", "t0").alias("y0"), at("fax", "fbx", "t1").alias("x1"), at("fay", "fby", "t1").alias("y1"), (F.col("t0") > 0).alias("cut_start"), (F.col("t1") < 1).alias("cut_end"))
 

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from quadrille.functions.mercator import EDGE, HALF
 from quadrille.kernels import lines
-from quadrille.operators import shapes
+from quadrille.operators import network, shapes
 from quadrille.operators.storage import staged
 from quadrille.plans import catalog
 from quadrille.plans.projection import POINTS_SQL
@@ -57,3 +58,19 @@ def test_vertices_of_ways_are_those_of_sql_to_the_last_bit(spark, tmp_path):
     points = f"WITH {POINTS_SQL} SELECT x, y FROM points ORDER BY id".replace("FROM part", f"FROM '{tmp_path}/part.parquet'")
     ways = sorted(catalog.way_lines(spark, str(tmp_path)).collect(), key=lambda r: r.way_id)
     assert [(p.x, p.y) for r in ways for p in r.coords] == duckdb.sql(points).fetchall()
+
+
+def test_segments_are_clipped_once(spark):
+    """Pieces as the kernel cuts them; the plan divides as often as it is written, not anew for each value that is named later."""
+    ends = [(3.2, 5.1, 6.7, 4.4), (1.5, 1.5, 1.5, 1.5), (2.0, 7.25, 4.5, 7.25), (9.9, 0.1, 8.1, 3.3)]
+    metres = lambda x, y: (x * EDGE / 16 - HALF, HALF - y * EDGE / 16)
+    segs = spark.createDataFrame([(k, 0, *metres(*e[:2]), *metres(*e[2:])) for k, e in enumerate(ends)], "way_id BIGINT, seg INT, ax DOUBLE, ay DOUBLE, bx DOUBLE, by DOUBLE")
+    made = network.clip_to_tiles(segs, 4)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count(" / ") <= 20
+    fraction = lambda x, y: ((x + HALF) / EDGE * 16, (HALF - y) / EDGE * 16)
+    for r in made.collect():
+        line = [fraction(*metres(*ends[r.way_id][:2])), fraction(*metres(*ends[r.way_id][2:]))]
+        [(piece, start, end)] = lines.clip_line(line, (r.tx, r.ty, r.tx + 1, r.ty + 1))
+        local = [round((v - t) * 8192) for p in (piece[0], piece[-1]) for v, t in zip(p, (r.tx, r.ty), strict=True)]
+        assert (r.cut_start, r.cut_end) == (start, end) and all(abs(a - b) <= 1 for a, b in zip((r.x0, r.y0, r.x1, r.y1), local, strict=True))
+    assert {(r.tx, r.ty) for r in made.where("way_id = 0").collect()} == {(3, 5), (3, 4), (4, 4), (5, 4), (6, 4)}
